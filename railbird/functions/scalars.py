@@ -15,8 +15,7 @@ def as_column(c: ColumnOrName) -> Column:
 
 
 def null_if_nan(c: ColumnOrName) -> Column:
-    c = as_column(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(as_column(c), F.lit(None).cast("double"))
 
 
 def number(c: ColumnOrName) -> Column:
@@ -45,24 +44,18 @@ def is_true(c: ColumnOrName) -> Column:
 def half_even(c: ColumnOrName, digits: int) -> Column:
     """Round to ``digits`` places as Python's ``round`` does: half to even on the exact binary value.
 
-    ``rint`` rounds the scaled value, but the product may itself have been rounded onto a tie. Its
-    error is found exactly by splitting the factor in two, and decides such ties.
+    ``rint`` rounds the scaled value, but that product may itself have been rounded onto a tie. With
+    the value split into a float and the rest, both products and the distance from one half are
+    exact, and tell where ``rint`` took the wrong side.
     """
     x = as_column(c).cast("double")
-    scale = float(10**digits)
-    scaled = x * F.lit(scale)
-    spread = x * F.lit(134217729.0)  # 2^27 + 1
-    high = spread - (spread - x)
-    error = (high * F.lit(scale) - scaled) + (x - high) * F.lit(scale)
-    nearest = F.rint(scaled)
-    gap = scaled - nearest
-    settled = (
-        F.when((gap == 0.5) & (error > 0), nearest + 1)
-        .when((gap == -0.5) & (error < 0), nearest - 1)
-        .otherwise(nearest)
-    )
+    scale = F.lit(float(10**digits))
+    nearest = F.rint(x * scale)
+    high = x.cast("float").cast("double")
+    coarse, fine = high * scale - nearest, (x - high) * scale
+    step = F.when((coarse - 0.5) + fine > 0, 1.0).when((coarse + 0.5) + fine < 0, -1.0).otherwise(0.0)
     # adding zero turns -0.0 into 0.0
-    return settled / F.lit(scale) + F.lit(0.0)
+    return (nearest + step) / scale + F.lit(0.0)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

@@ -31,45 +31,40 @@ OPTIMAL = {"votes": 7, "price": 2.0, "prize": 25000}
 
 
 def votes(
-    df: DataFrame,
-    signals: Sequence[Signal] = SIGNALS,
-    key: str = "race_id",
-    run: str = "run_id",
-    tie: Sequence[str] = ROW_ORDER,
+    df: DataFrame, groups: Groups, signals: Sequence[Signal] = SIGNALS, tie: Sequence[str] = ROW_ORDER
 ) -> DataFrame:
     """Each signal votes for its best runner; ties go to the earlier row.
 
-    One row per runner with a vote: ``votes``, ``first_signal`` (the place of the first signal that
-    chose it) and ``total_signals`` (the race's signals with any value). One shuffle on the race,
-    after one best row per race and signal is kept in each task.
+    Adds ``votes``, ``first_signal`` (the place of the first signal that chose the runner, NULL
+    without a vote) and ``total_signals`` (the signals any runner of the race has).
     """
+    places = range(len(signals))
+    df = groups.number(df, "_row", [F.col(c).asc() for c in tie])
+    best = {
+        f"_best{i}": F.max(s.column) if s.descending else F.min(s.column) for i, s in enumerate(signals)
+    }
+    df = groups.totals(df, **best)
+    first = {f"_at{i}": F.min(F.when(F.col(s.column) == F.col(f"_best{i}"), F.col("_row"))) for i, s in enumerate(signals)}
+    df = groups.totals(df, **first)
+    chosen = [F.coalesce(F.col("_row") == F.col(f"_at{i}"), F.lit(False)) for i in places]
+    known = [F.col(f"_best{i}").isNotNull() for i in places]
 
-    def best(s: Signal) -> Column:
-        value = F.col(s.column).cast("double")
-        order = F.struct(-value if s.descending else value, *[F.col(c) for c in tie])
-        return F.min_by(F.col(run), F.when(value.isNotNull(), order))
-
-    chosen = df.groupBy(key).agg(*[best(s).alias(f"_s{i}") for i, s in enumerate(signals)])
-    total = sum((F.col(f"_s{i}").isNotNull().cast("int") for i in range(len(signals))), F.lit(0))
-    ballots = chosen.select(
-        key,
-        total.alias("total_signals"),
-        F.posexplode(F.array(*[F.col(f"_s{i}") for i in range(len(signals))])).alias("_sig", run),
-    ).where(F.col(run).isNotNull())
-    return ballots.groupBy(key, run).agg(
-        F.count("*").cast("int").alias("votes"),
-        F.min("_sig").alias("first_signal"),
-        F.max("total_signals").alias("total_signals"),
-    )
+    def count(conditions: Sequence[Column]) -> Column:
+        return sum((c.cast("int") for c in conditions), F.lit(0))
 
+    first_chosen = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(chosen)])
+    df = df.withColumns({"votes": count(chosen), "first_signal": first_chosen, "total_signals": count(known)})
+    return df.drop("_row", *best, *first)
 
-def top_selection(voted: DataFrame, key: str = "race_id", run: str = "run_id") -> DataFrame:
-    """The runner with most votes; among equals the one chosen first."""
-    order = F.struct(-F.col("votes"), F.col("first_signal"))
-    best = voted.groupBy(key).agg(
-        F.min_by(F.struct(run, "votes", "first_signal", "total_signals"), order).alias("_b")
-    )
-    return best.select(key, "_b.*")
+
+def top_selection(voted: DataFrame, groups: Groups) -> DataFrame:
+    """The runner with most votes of each race with any; among equals the one chosen first.
+
+    A signal chooses one runner, so no two runners of a race share votes and first signal.
+    """
+    standing = F.struct(F.col("votes"), -F.col("first_signal"))
+    leading = groups.totals(voted.where(F.col("votes") > 0), _top=F.max(standing))
+    return leading.where(F.col("_top") == standing).drop("_top")
 
 
 def first_starter(df: DataFrame, groups: Groups, runs: str = "runs_with_wpr", name: str = "has_first_starter") -> DataFrame:
@@ -216,17 +211,18 @@ def race_context(df: DataFrame, groups: Groups, tie: Sequence[str] = ROW_ORDER)
     return settling(pace(speed_rank(first_starter(df, groups), groups), groups, tie=tie), groups)
 
 
-def optimal_flags(df: DataFrame, signals: Sequence[Signal] = SIGNALS, tie: Sequence[str] = ROW_ORDER) -> DataFrame:
+def optimal_flags(
+    df: DataFrame, groups: Groups, signals: Sequence[Signal] = SIGNALS, tie: Sequence[str] = ROW_ORDER
+) -> DataFrame:
     """Races with their top selection and whether it passes the optimal gates."""
-    top = top_selection(votes(df, signals, tie=tie))
-    chosen = df.select("race_id", "run_id", "fixed_win_price", "prize_money", "wpr_trend", "has_first_starter")
-    joined = top.join(chosen, ["race_id", "run_id"])
+    top = top_selection(votes(df, groups, signals, tie), groups)
     flag = is_optimal(
         F.col("votes"), F.col("fixed_win_price"), F.col("prize_money"), F.col("wpr_trend"), F.col("has_first_starter")
     )
-    return joined.select("race_id", "run_id", "votes", "total_signals", flag.alias("is_optimal"))
+    return top.select("race_id", "run_id", "votes", "total_signals", flag.alias("is_optimal"))
 
 
+# The short keys of a runner in a selection record.
 RUNNER_BRIEF = {
     "h": "horse", "rid": "run_id", "j": "jockey", "tn": "trainer", "f": "finish_position", "sp": "starting_price_sp",
     "fx": "fixed_win_price", "trp": "rating_price", "trr": "rating", "tr": "wpr_trend", "w": "wpr_nett", "b": "barrier",
@@ -266,11 +262,11 @@ def selections(
     lists = df.groupBy("race_id", F.col("_part").alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(brief)), lambda r: r.dropFields("_pos")).alias("u_list")
     )
-    top = top_selection(votes(df, signals, tie=tie))
     places = leader_positions(df, signals, tie=tie, position="_pos")
     price = first_truthy("starting_price_sp", "fixed_win_price", falsy=0.0)
-    chosen = df.select(
-        "race_id", "run_id", "date", "venue", "race", "horse", "jockey", "trainer",
+    top = top_selection(votes(df, groups, signals, tie), groups)
+    chosen = top.select(
+        "race_id", "run_id", "votes", "total_signals", "date", "venue", "race", "horse", "jockey", "trainer",
         price.alias("sp"), "prize_money", "wpr_nett", "wpr_trend", "wpr_rank", "wpr_peak_rank_1yr",
         "rating", "rating_price", "speed_rating", F.col("_speed_rank").cast("int").alias("speed_rank_in_race"),
         is_on_pace(F.col("_speed_rank")).alias("is_on_pace"), "barrier",
@@ -283,12 +279,7 @@ def selections(
         F.coalesce("resulted", F.lit(0)).alias("resulted"), F.col("_pos").alias("top_idx"),
         "race_pace_score", "start_time",
     )
-    return (
-        top.drop("first_signal")
-        .join(chosen, ["race_id", "run_id"])
-        .join(places, "race_id")
-        .join(lists, "race_id")
-    )
+    return chosen.join(places, "race_id").join(lists, "race_id")
 
 
 def _direction(column: str, signals: Sequence[Signal]) -> bool:

@@ -94,7 +94,8 @@ RUNNER = {
 
 RUNNER_FROM = "lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey"
 
-# A past run of a part: its lines, the latest shipped first.
+# A past run of a part: its lines, the latest shipped first. Values are binary fractions, so that
+# their sums are exact in any order.
 RUN = {
     "run_id": "l_partkey",
     "ok": "l_orderkey",
@@ -112,11 +113,11 @@ RUN = {
     "position800m": "CAST(CASE WHEN l_tax > 0.06 THEN NULL ELSE l_quantity % 8 END AS INT)",
     "position400m": "CAST(l_quantity % 9 AS INT)",
     "margin800m": "CASE WHEN l_discount = 0.02 THEN NULL ELSE l_quantity / 4 END",
-    "margin400m": "CASE WHEN l_discount = 0.03 THEN NULL ELSE l_tax * l_quantity END",
-    "marginFinish": "CASE WHEN l_discount = 0.04 THEN NULL ELSE l_discount * l_quantity END",
-    "raceShapeEarly": "nullif(l_tax, 0.01)",
-    "raceShapeMid": "l_discount",
-    "raceShapeLate": "l_tax - l_discount",
+    "margin400m": "CASE WHEN l_discount = 0.03 THEN NULL ELSE l_quantity % 7 / 8 END",
+    "marginFinish": "CASE WHEN l_discount = 0.04 THEN NULL ELSE l_quantity % 5 / 2 END",
+    "raceShapeEarly": "CASE WHEN l_tax = 0.01 THEN NULL ELSE l_linenumber / 8.0e0 END",
+    "raceShapeMid": "l_suppkey % 5 / 4.0e0",
+    "raceShapeLate": "l_suppkey % 9 / 16.0e0 - 0.25e0",
     "weightCarried": "CASE WHEN l_linenumber = 2 THEN NULL ELSE 50 + l_quantity / 8 END",
 }
 
