@@ -129,6 +129,14 @@ def form_features(
     def count(array: Column, condition) -> Column:
         return F.size(F.filter(array, condition))
 
+    def tally(cat: str) -> Column:
+        there = F.filter("_categories", lambda r: r["cat"] == cat)
+        return F.struct(
+            F.size(there).alias("starts"),
+            count(there, lambda r: r["finish"] == 1).alias("wins"),
+            count(there, lambda r: r["finish"].between(1, 3)).alias("places"),
+        )
+
     rest_of_three = F.slice(wpr, 2, 2)
     out = {
         "wpr_last1": F.get(wpr, 0),
@@ -152,24 +160,7 @@ def form_features(
         "places_at_dist": count(near, lambda r: r["positionFinish"].between(1, 3)),
         "going_breakdown": F.map_from_entries(
             F.filter(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(cat),
-                            F.struct(
-                                count(F.col("_categories"), lambda r, cat=cat: r["cat"] == cat).alias("starts"),
-                                count(
-                                    F.col("_categories"), lambda r, cat=cat: (r["cat"] == cat) & (r["finish"] == 1)
-                                ).alias("wins"),
-                                count(
-                                    F.col("_categories"),
-                                    lambda r, cat=cat: (r["cat"] == cat) & r["finish"].between(1, 3),
-                                ).alias("places"),
-                            ),
-                        )
-                        for cat in GOING_CATEGORIES
-                    ]
-                ),
+                F.array(*[F.struct(F.lit(cat), tally(cat)) for cat in GOING_CATEGORIES]),
                 lambda entry: entry["col2"]["starts"] > 0,
             )
         ),
