@@ -26,7 +26,7 @@ def oldest_first(order: Sequence[str | Column]) -> list[Column]:
 def _one_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     # The filter on row_number lets Spark keep one row per key before the shuffle as well.
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+    return df.withColumn("_kept", F.row_number().over(w)).where(F.col("_kept") == 1).drop("_kept")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ROW_ORDER) -> DataFrame:

@@ -134,20 +134,25 @@ def read_ratings(spark: SparkSession, path: str, names: Mapping[str, str] | None
     return split_shapes(docs, "value", RATING_ITEM, theirs)
 
 
-def read_sectionals(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Sectional times in either shape; ``ddl`` names the values wanted besides the runner's key.
+def sectional_rows(documents: DataFrame, text: str, ddl: str) -> DataFrame:
+    """Sectional documents of either shape to items; ``ddl`` names the values besides the runner's key.
 
-    The key has gone by several names that differ in case only; the first one set is taken.
+    The key has gone by several names, two of which differ in case only; the first one set is taken.
     """
-    docs = read_documents(spark, path)
-    docs = docs.withColumns({"ext_date": file_date(F.col("_file")), "ext_meeting_id": file_meeting(F.col("_file"))})
-    ours = ", ".join([*[f"_key{i} STRING" for i in range(len(SECTIONAL_KEYS))], ddl])
-    theirs = ", ".join([*[f"{k} STRING" for k in SECTIONAL_KEYS], ddl])
-    items = split_shapes(docs.drop("_file"), "value", ours, theirs)
     keys = [f"_key{i}" for i in range(len(SECTIONAL_KEYS))]
+    ours = ", ".join([*[f"{k} STRING" for k in keys], ddl])
+    theirs = ", ".join([*[f"{k} STRING" for k in SECTIONAL_KEYS], ddl])
+    items = split_shapes(documents, text, ours, theirs)
     return items.select(F.coalesce(*keys).alias("runner_id"), *[c for c in items.columns if c not in keys])
 
 
+def read_sectionals(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Sectional times, one file per day and meeting."""
+    docs = read_documents(spark, path)
+    docs = docs.withColumns({"ext_date": file_date(F.col("_file")), "ext_meeting_id": file_meeting(F.col("_file"))})
+    return sectional_rows(docs.drop("_file"), "value", ddl)
+
+
 def _parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

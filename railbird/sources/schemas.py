@@ -47,12 +47,12 @@ PICKS = """
   finish_position INT, won INT, placed INT, resulted INT
 """
 
-CALENDAR = """
+CALENDAR_RACE = """STRUCT<raceId: BIGINT, number: INT, name: STRING, distance: INT, prizeMoney: DOUBLE,
+  startTime: STRING, scheduledTime: STRING, raceTime: STRING, startAt: STRING, time: STRING, jumpTime: STRING,
+  isAbandoned: BOOLEAN, isBarrierTrial: BOOLEAN>"""
+CALENDAR = f"""
   date STRING, meetings ARRAY<STRUCT<venue: STRING, state: STRING, going: STRING, railPosition: STRING,
-    trackGrading: STRING, isTrialMeeting: BOOLEAN, isJumpout: BOOLEAN,
-    races: ARRAY<STRUCT<raceId: BIGINT, number: INT, name: STRING, distance: INT, prizeMoney: DOUBLE,
-      startTime: STRING, scheduledTime: STRING, raceTime: STRING, startAt: STRING, time: STRING, jumpTime: STRING,
-      isAbandoned: BOOLEAN, isBarrierTrial: BOOLEAN>>>>
+    trackGrading: STRING, isTrialMeeting: BOOLEAN, isJumpout: BOOLEAN, races: ARRAY<{CALENDAR_RACE}>>>
 """
 
 DETAIL = """
@@ -120,21 +120,32 @@ PERFORMANCE_BLOCKS = (
     "trainerJockeyA2E_Last100",
 )
 
-_FIELD_RUNNER = (
-    "runnerId: STRING, name: STRING, tabNo: INT, barrier: INT, weight: DOUBLE, weightTotal: DOUBLE, handicap: DOUBLE, "
-    "age: INT, sex: STRING, country: STRING, trainer: STRUCT<trainerId: STRING, fullName: STRING, location: STRING>, "
-    "jockey: STRUCT<jockeyId: STRING, fullName: STRING, claim: DOUBLE, isApprentice: BOOLEAN>, priceSP: DOUBLE, "
-    "last10: STRING, winPct: DOUBLE, placePct: DOUBLE, careerStarts: INT, careerWins: INT, prizeMoney: DOUBLE, "
-    "emergencyIndicator: BOOLEAN, gearChanges: STRING, prepRuns: INT, formId: STRING, "
-    + ", ".join(f"{b}: STRUCT<starts: INT, firsts: INT, seconds: INT, thirds: INT>" for b in RECORD_BLOCKS)
-    + ", "
-    + ", ".join(
-        f"{b}: STRUCT<a2E: DOUBLE, poT: DOUBLE, strikeRate: DOUBLE, wins: INT, runners: INT>" for b in PERFORMANCE_BLOCKS
-    )
-)
+
+def nested_ddl(fields: dict) -> str:
+    """The fields of a struct type; a value is a type's name or the fields of a nested struct."""
+    return ", ".join(f"{k}: {t if isinstance(t, str) else f'STRUCT<{nested_ddl(t)}>'}" for k, t in fields.items())
+
+
+FIELD_RUNNER = {
+    "runnerId": "STRING", "name": "STRING", "tabNo": "INT", "barrier": "INT", "weight": "DOUBLE", "weightTotal": "DOUBLE",
+    "handicap": "DOUBLE", "age": "INT", "sex": "STRING", "country": "STRING",
+    "trainer": {"trainerId": "STRING", "fullName": "STRING", "location": "STRING"},
+    "jockey": {"jockeyId": "STRING", "fullName": "STRING", "claim": "DOUBLE", "isApprentice": "BOOLEAN"},
+    "priceSP": "DOUBLE", "last10": "STRING", "winPct": "DOUBLE", "placePct": "DOUBLE", "careerStarts": "INT",
+    "careerWins": "INT", "prizeMoney": "DOUBLE", "emergencyIndicator": "BOOLEAN", "gearChanges": "STRING",
+    "prepRuns": "INT", "formId": "STRING",
+    **{b: {"starts": "INT", "firsts": "INT", "seconds": "INT", "thirds": "INT"} for b in RECORD_BLOCKS},
+    **{
+        b: {"a2E": "DOUBLE", "poT": "DOUBLE", "strikeRate": "DOUBLE", "wins": "INT", "runners": "INT"}
+        for b in PERFORMANCE_BLOCKS
+    },
+}
+FIELD_RACE = {
+    "raceId": "STRING", "number": "INT", "name": "STRING", "distance": "INT", "raceClass": "STRING", "prizeMoney": "STRING",
+    "startTime": "STRING",
+}
 FIELDS = (
-    "meetingId STRING, races ARRAY<STRUCT<raceId: STRING, number: INT, name: STRING, distance: INT, raceClass: STRING, "
-    f"prizeMoney: STRING, startTime: STRING, runners: ARRAY<STRUCT<{_FIELD_RUNNER}>>>>"
+    f"meetingId STRING, races ARRAY<STRUCT<{nested_ddl(FIELD_RACE)}, runners: ARRAY<STRUCT<{nested_ddl(FIELD_RUNNER)}>>>>"
 )
 
 RATING_ITEM = """
