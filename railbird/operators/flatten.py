@@ -80,9 +80,9 @@ def runner_rows(
     Lookups that miss leave NULLs. Net ratings are ranked over all entries of a race's cache.
     """
     runners = detail_runners(detail).join(races, "race_id")
-    nett = InTask(["race_id"]).number(
-        net_ratings(caches), "_n", [F.col("wpr_nett").desc_nulls_last(), F.col("row_pos")]
-    )
+    # a race's cache is one record, so its entries are few
+    by_rating = [F.col("wpr_nett").desc_nulls_last(), F.col("row_pos")]
+    nett = InTask(["race_id"]).numbers(net_ratings(caches), {"_n": by_rating})
     nett = keep_last(nett, ["race_id", "run_id"], ["row_pos"]).select(
         "race_id", "run_id", "wpr_nett", F.when(F.col("wpr_nett").isNotNull(), F.col("_n")).alias("wpr_rank")
     )

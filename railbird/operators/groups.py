@@ -11,7 +11,7 @@ slices before it are added. Totals of such groups are aggregated before the shuf
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,6 +55,10 @@ def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(renamed, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def _ends_null(value: Column, descending: bool) -> Column:
+    return value.desc_nulls_last() if descending else value.asc_nulls_last()
+
+
 class InTask:
     """Each group is sorted and summed by the task that holds it."""
 
@@ -64,14 +68,15 @@ class InTask:
     def _window(self):
         return Window.partitionBy(*self.keys)
 
-    def number(self, df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
-        """Number the rows of a group 1..n. ``order`` must be total."""
-        return df.withColumn(name, F.row_number().over(self._window().orderBy(*order)))
+    def numbers(self, df: DataFrame, orders: Mapping[str, Sequence[Column]]) -> DataFrame:
+        """Number the rows of a group 1..n in each order. Orders must be total."""
+        w = self._window()
+        return df.withColumns({name: F.row_number().over(w.orderBy(*order)) for name, order in orders.items()})
 
-    def competition(self, df: DataFrame, name: str, value: Column, descending: bool = True) -> DataFrame:
-        """Rank with equal values sharing the best place; NULLs share the last one."""
-        by = value.desc_nulls_last() if descending else value.asc_nulls_last()
-        return df.withColumn(name, F.rank().over(self._window().orderBy(by)))
+    def competitions(self, df: DataFrame, values: Mapping[str, tuple[Column, bool]]) -> DataFrame:
+        """Rank by each value (descending if so marked): equals share the best place, NULLs the last."""
+        w = self._window()
+        return df.withColumns({name: F.rank().over(w.orderBy(_ends_null(*by))) for name, by in values.items()})
 
     def totals(self, df: DataFrame, **totals: Column) -> DataFrame:
         """Add aggregates of the whole group to each of its rows."""
@@ -112,24 +117,28 @@ class Spread:
             .drop("_weight", "_slice", "_start", "_local")
         )
 
-    def number(self, df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
-        return self._before(df, name, order, F.lit(1)).withColumn(name, F.col(name) + 1)
-
-    def competition(self, df: DataFrame, name: str, value: Column, descending: bool = True) -> DataFrame:
-        with_value = df.withColumn("_value", value)
-        by = F.col("_value").desc_nulls_last() if descending else F.col("_value").asc_nulls_last()
-        distinct = with_value.groupBy(*self.keys, "_value").agg(F.count("*").alias("_n"))
-        ranked = self._before(distinct, name, [by], F.col("_n")).select(
-            *self.keys, "_value", (F.col(name) + 1).alias(name)
-        )
-        return attach(with_value, ranked, [*self.keys, "_value"], "inner").drop("_value")
+    def numbers(self, df: DataFrame, orders: Mapping[str, Sequence[Column]]) -> DataFrame:
+        for name, order in orders.items():
+            df = self._before(df, name, order, F.lit(1)).withColumn(name, F.col(name) + 1)
+        return df
+
+    def competitions(self, df: DataFrame, values: Mapping[str, tuple[Column, bool]]) -> DataFrame:
+        for name, (value, descending) in values.items():
+            with_value = df.withColumn("_value", value)
+            # equal values are counted before the shuffle, so a common one weighs no more than a rare one
+            distinct = with_value.groupBy(*self.keys, "_value").agg(F.count("*").alias("_n"))
+            ranked = self._before(distinct, name, [_ends_null(F.col("_value"), descending)], F.col("_n")).select(
+                *self.keys, "_value", (F.col(name) + 1).alias(name)
+            )
+            df = attach(with_value, ranked, [*self.keys, "_value"], "inner").drop("_value")
+        return df
 
     def totals(self, df: DataFrame, **totals: Column) -> DataFrame:
         summed = df.groupBy(*self.keys).agg(*[c.alias(name) for name, c in totals.items()])
         return attach(df, summed, self.keys, "inner")
 
     def chunk(self, df: DataFrame, name: str, order: Sequence[Column], size: int) -> DataFrame:
-        return self.number(df, name, order).withColumn(name, F.floor((F.col(name) - 1) / size).cast("int"))
+        return self.numbers(df, {name: order}).withColumn(name, F.floor((F.col(name) - 1) / size).cast("int"))
 
 
 Groups = InTask | Spread

@@ -212,7 +212,7 @@ def run_features(
     )
 
     def features(df: DataFrame, groups: Groups) -> DataFrame:
-        df = groups.number(df, "_n", [F.col(c) if isinstance(c, str) else c for c in order])
+        df = groups.numbers(df, {"_n": [F.col(c) if isinstance(c, str) else c for c in order]})
         df = df.withColumns({f"_{p}": c for p, c in _sectionals(lambda name: F.col(name)).items()})
         nth = F.col("_n")
         recent = nth <= RECENT

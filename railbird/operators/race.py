@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from railbird.functions.scalars import first_truthy, is_true, number, truthy
 from railbird.operators.groups import Groups
-from railbird.operators.ranks import ANCHORS, SIGNALS, Signal, anchor_ranks, competition_rank, leader_positions, ordinal_rank
+from railbird.operators.ranks import ANCHORS, SIGNALS, Signal, anchor_ranks, competition_ranks, leader_positions, ordinal_ranks
 from railbird.operators.tables import ROW_ORDER
 
 # Settling positions and the last average position of each, and of the speed ranks
@@ -39,7 +39,7 @@ def votes(
     without a vote) and ``total_signals`` (the signals any runner of the race has).
     """
     places = range(len(signals))
-    df = groups.number(df, "_row", [F.col(c).asc() for c in tie])
+    df = groups.numbers(df, {"_row": [F.col(c).asc() for c in tie]})
     best = {
         f"_best{i}": F.max(s.column) if s.descending else F.min(s.column) for i, s in enumerate(signals)
     }
@@ -83,7 +83,7 @@ def pace(
 ) -> DataFrame:
     """How fast the race should be run, from known early positions, else from speed ratings."""
     where, rate = F.col(position), F.col(speed)
-    df = ordinal_rank(df, groups, Signal(speed), "_nth", tie)
+    df = ordinal_ranks(df, groups, {"_nth": Signal(speed)}, tie)
     df = groups.totals(
         df,
         _known=F.count(where),
@@ -133,7 +133,7 @@ def settled_by_rank(rank: Column, field: Column) -> Column:
 
 
 def speed_rank(df: DataFrame, groups: Groups, speed: str = "speed_rating", name: str = "speed_rank_in_race") -> DataFrame:
-    return competition_rank(df, groups, Signal(speed), name)
+    return competition_ranks(df, groups, {name: Signal(speed)})
 
 
 def settling(
@@ -172,7 +172,7 @@ def contested_fallback(
     tie: Sequence[str] = ROW_ORDER,
 ) -> DataFrame:
     """Fill an unknown flag where at least three runners have a speed rating."""
-    df = ordinal_rank(df, groups, Signal(speed), "_nth", tie)
+    df = ordinal_ranks(df, groups, {"_nth": Signal(speed)}, tie)
     rate = F.col(speed)
     df = groups.totals(
         df, _first=F.max(F.when(F.col("_nth") == 1, rate)), _third=F.max(F.when(F.col("_nth") == 3, rate))
@@ -246,8 +246,8 @@ def selections(
     """
     position_order = [F.col(c).asc() for c in tie]
     df = df.drop("settling")
-    df = groups.number(df, "_pos", position_order).withColumn("_pos", F.col("_pos") - 1)
-    df = competition_rank(df, groups, Signal("speed_rating"), "_speed_rank")
+    df = groups.numbers(df, {"_pos": position_order}).withColumn("_pos", F.col("_pos") - 1)
+    df = competition_ranks(df, groups, {"_speed_rank": Signal("speed_rating")})
     df = df.withColumn("_speed_rank", F.coalesce("_speed_rank", number("speed_rank_in_race")))
     df = settling(df, groups, rank="_speed_rank", name="settling")
     df = race_pace(df, groups)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,23 +56,26 @@ def best_first(signal: Signal, tie: Sequence[str | Column] = ROW_ORDER) -> list[
     return [by, *[as_column(c).asc() for c in tie]]
 
 
-def ordinal_rank(
-    df: DataFrame, groups: Groups, signal: Signal, name: str, tie: Sequence[str | Column] = ROW_ORDER
+def _where_known(df: DataFrame, signals: Mapping[str, Signal]) -> DataFrame:
+    return df.withColumns({name: F.when(F.col(s.column).isNotNull(), F.col(name)) for name, s in signals.items()})
+
+
+def ordinal_ranks(
+    df: DataFrame, groups: Groups, signals: Mapping[str, Signal], tie: Sequence[str | Column] = ROW_ORDER
 ) -> DataFrame:
-    """1..k over the runners that have the signal; NULL for the others."""
-    ranked = groups.number(df, name, best_first(signal, tie))
-    return ranked.withColumn(name, F.when(F.col(signal.column).isNotNull(), F.col(name)))
+    """1..k over the runners that have the signal, ties in row order; NULL for the others."""
+    ranked = groups.numbers(df, {name: best_first(s, tie) for name, s in signals.items()})
+    return _where_known(ranked, signals)
 
 
-def competition_rank(df: DataFrame, groups: Groups, signal: Signal, name: str) -> DataFrame:
+def competition_ranks(df: DataFrame, groups: Groups, signals: Mapping[str, Signal]) -> DataFrame:
     """One more than the number of strictly better runners; NULL without the signal."""
-    ranked = groups.competition(df, name, F.col(signal.column), signal.descending)
-    return ranked.withColumn(name, F.when(F.col(signal.column).isNotNull(), F.col(name)))
+    return _where_known(bottom_ranks(df, groups, signals), signals)
 
 
-def bottom_rank(df: DataFrame, groups: Groups, signal: Signal, name: str) -> DataFrame:
-    """Competition rank in which all runners without the signal share the place after the last."""
-    return groups.competition(df, name, F.col(signal.column), signal.descending)
+def bottom_ranks(df: DataFrame, groups: Groups, signals: Mapping[str, Signal]) -> DataFrame:
+    """Competition ranks in which all runners without the signal share the place after the last."""
+    return groups.competitions(df, {name: (F.col(s.column), s.descending) for name, s in signals.items()})
 
 
 def percentile(rank: Column, size: Column) -> Column:
@@ -137,7 +140,7 @@ def leader_positions(
 def anchor_ranks(
     df: DataFrame,
     groups: Groups,
-    signals: dict[str, Signal],
+    signals: Mapping[str, Signal],
     tie: Sequence[str] = ROW_ORDER,
     rank_name: str = "rnk",
     size_name: str = "fsz",
@@ -145,8 +148,7 @@ def anchor_ranks(
     """Add two structs: the runner's place by each anchor signal, and how many runners have it."""
     sizes = {f"_size_{short}": F.count(s.column) for short, s in signals.items()}
     df = groups.totals(df, **sizes)
-    for short, signal in signals.items():
-        df = ordinal_rank(df, groups, signal, f"_rank_{short}", tie)
+    df = ordinal_ranks(df, groups, {f"_rank_{short}": s for short, s in signals.items()}, tie)
     known = {short: F.nullif(F.col(f"_size_{short}"), F.lit(0)) for short in signals}
     df = df.withColumns(
         {

@@ -198,7 +198,9 @@ def net_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # one cache record holds a whole race, so its entries are few
     rated = history.net_ratings(caches)
-    ranked = InTask(["race_id"]).number(rated, "wpr_rank", [F.col("wpr_nett").desc_nulls_last(), F.col("row_pos")])
+    ranked = InTask(["race_id"]).numbers(
+        rated, {"wpr_rank": [F.col("wpr_nett").desc_nulls_last(), F.col("row_pos")]}
+    )
     return ranked.select(
         "race_id", "run_id", "wpr_nett", F.when(F.col("wpr_nett").isNotNull(), F.col("wpr_rank")).alias("wpr_rank")
     )

@@ -88,9 +88,7 @@ ORDINALS = {"rating_place": Signal("rating"), "late_place": Signal("late_speed_s
 def rank_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(df: DataFrame, g: Groups) -> DataFrame:
         df = df.select("race_id", "run_id", *TIE, *[s.column for s in ORDINALS.values()])
-        for name, signal in ORDINALS.items():
-            df = ranks.ordinal_rank(df, g, signal, name, TIE)
-        return df.select("race_id", "run_id", *ORDINALS)
+        return ranks.ordinal_ranks(df, g, ORDINALS, TIE).select("race_id", "run_id", *ORDINALS)
 
     return over_races(spark, sf_dir, work)
 
@@ -107,7 +105,7 @@ def rank_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(df: DataFrame, g: Groups) -> DataFrame:
         df = race.speed_rank(df.select("race_id", "run_id", "speed_rating", "wpr_dist"), g)
-        df = ranks.competition_rank(df, g, Signal("wpr_dist", descending=False), "dist_rank")
+        df = ranks.competition_ranks(df, g, {"dist_rank": Signal("wpr_dist", descending=False)})
         return df.select("race_id", "run_id", "speed_rank_in_race", "dist_rank")
 
     return over_races(spark, sf_dir, work)
@@ -119,8 +117,9 @@ BOTTOM_SQL = """
 
 
 def _bottom(df: DataFrame, g: Groups) -> DataFrame:
-    df = ranks.bottom_rank(df, g, Signal("late_speed_score"), "late_rank")
-    return ranks.bottom_rank(df, g, Signal("ext_ai_rank", descending=False), "ai_rank")
+    return ranks.bottom_ranks(
+        df, g, {"late_rank": Signal("late_speed_score"), "ai_rank": Signal("ext_ai_rank", descending=False)}
+    )
 
 
 @query("rank_nulls_last", with_runners(select=f"SELECT race_id, run_id, {BOTTOM_SQL} FROM runners"))
@@ -210,7 +209,7 @@ def _rankings_text(c: str) -> F.Column:
 )
 def leader_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(df: DataFrame, g: Groups) -> DataFrame:
-        df = g.number(df, "pos", [F.col(c) for c in TIE]).withColumn("pos", F.col("pos") - 1)
+        df = g.numbers(df, {"pos": [F.col(c) for c in TIE]}).withColumn("pos", F.col("pos") - 1)
         return ranks.leader_positions(df, SIGNALS, tie=TIE).select(
             "race_id", _rankings_text("sig_rankings").alias("sig_rankings")
         )
@@ -638,7 +637,7 @@ def ordered_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("part"),
     )
     order = [F.col(c).asc() for c in ("date", "start_time", "venue", "race", "race_id")]
-    placed = Spread(["part"]).number(races, "place", order)
+    placed = Spread(["part"]).numbers(races, {"place": order})
     return payload.in_race_order(placed).drop("part")
 
 
