@@ -55,6 +55,18 @@ def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(renamed, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def _rejoin(df: DataFrame, summed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring per-key values back to the rows they were worked out from; every row has a match.
+
+    The keys are compared as one struct, in which NULLs are equal. With a condition per key, Spark
+    would derive filters from each pair of a chain of such joins.
+    """
+    left = F.struct(*[df[k].alias(f"k{i}") for i, k in enumerate(keys)])
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    right = summed.select(key.alias("_key"), *[c for c in summed.columns if c not in keys])
+    return df.join(right, left == right["_key"]).drop("_key")
+
+
 def _ends_null(value: Column, descending: bool) -> Column:
     return value.desc_nulls_last() if descending else value.asc_nulls_last()
 
@@ -112,7 +124,7 @@ class Spread:
         inside = Window.partitionBy(*by_slice).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         local = sliced.withColumn("_local", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
         return (
-            attach(local, starts, by_slice, "inner")
+            _rejoin(local, starts, by_slice)
             .withColumn(name, (F.col("_start") + F.col("_local")).cast("int"))
             .drop("_weight", "_slice", "_start", "_local")
         )
@@ -123,19 +135,23 @@ class Spread:
         return df
 
     def competitions(self, df: DataFrame, values: Mapping[str, tuple[Column, bool]]) -> DataFrame:
-        for name, (value, descending) in values.items():
-            with_value = df.withColumn("_value", value)
+        # read once per value and once more for the join, so it must not be worked out anew each time
+        df = durable(df.withColumns({f"_value_{name}": value for name, (value, _) in values.items()}))
+        out = df
+        for name, (_, descending) in values.items():
+            value = f"_value_{name}"
             # equal values are counted before the shuffle, so a common one weighs no more than a rare one
-            distinct = with_value.groupBy(*self.keys, "_value").agg(F.count("*").alias("_n"))
-            ranked = self._before(distinct, name, [_ends_null(F.col("_value"), descending)], F.col("_n")).select(
-                *self.keys, "_value", (F.col(name) + 1).alias(name)
+            distinct = df.groupBy(*self.keys, value).agg(F.count("*").alias("_n"))
+            ranked = self._before(distinct, name, [_ends_null(F.col(value), descending)], F.col("_n")).select(
+                *self.keys, value, (F.col(name) + 1).alias(name)
             )
-            df = attach(with_value, ranked, [*self.keys, "_value"], "inner").drop("_value")
-        return df
+            out = _rejoin(out, ranked, [*self.keys, value])
+        return out.drop(*[f"_value_{name}" for name in values])
 
     def totals(self, df: DataFrame, **totals: Column) -> DataFrame:
+        df = durable(df)
         summed = df.groupBy(*self.keys).agg(*[c.alias(name) for name, c in totals.items()])
-        return attach(df, summed, self.keys, "inner")
+        return _rejoin(df, summed, self.keys)
 
     def chunk(self, df: DataFrame, name: str, order: Sequence[Column], size: int) -> DataFrame:
         return self.numbers(df, {name: order}).withColumn(name, F.floor((F.col(name) - 1) / size).cast("int"))

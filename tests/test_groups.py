@@ -8,10 +8,11 @@ from railbird.operators import payload, race, ranks, rules, score
 from railbird.operators.groups import InTask, Spread, oversized, per_group
 from railbird.operators.ranks import ANCHORS, SIGNALS, Signal
 from railbird.plans import star
-from railbird.plans.race_queries import _with_nested
+from railbird.plans.race_queries import SCORE_COLUMNS
 from railbird.plans.star import TIE
 
 SF = "/root/testdata/sf0.001"
+CONTEXT_COLUMNS = ("race_id", "run_id", *TIE, "runs_with_wpr", "speed_rating", "avg_800m_pos", "avg_settled_pos")
 
 
 @pytest.fixture(scope="module")
@@ -30,22 +31,23 @@ def runners(spark):
     return merged.withColumns({"ln": F.xxhash64("run_id"), "pk": F.lit(0), "sk": F.lit(0)}).checkpoint()
 
 
-def same(df, work, keys=("race_id",)):
+def same(df, work, keys=("race_id",), split=False):
     plain = rows(work(df, InTask(list(keys))))
     assert rows(work(df, Spread(list(keys)))) == plain
-    assert rows(per_group(df, list(keys), work, max_rows=20)) == plain
+    if split:
+        assert rows(per_group(df, list(keys), work, max_rows=20)) == plain
     return plain
 
 
 def test_numbers(values):
-    got = same(values, lambda d, g: g.numbers(d, {"n": [F.col("v").desc_nulls_last(), F.col("i")]}), ["g"])
+    got = same(values, lambda d, g: g.numbers(d, {"n": [F.col("v").desc_nulls_last(), F.col("i")]}), ["g"], split=True)
     hot = sorted(r[3] for r in got if r[0] == "hot")
     assert hot == list(range(1, 301))
 
 
 @pytest.mark.parametrize("descending", [True, False])
 def test_competitions(values, descending):
-    got = same(values, lambda d, g: g.competitions(d, {"k": (F.col("v"), descending)}), ["g"])
+    got = same(values, lambda d, g: g.competitions(d, {"k": (F.col("v"), descending)}), ["g"], split=True)
     hot = [(r[2], r[3]) for r in got if r[0] == "hot"]
     known = [v for v, _ in hot if v is not None]
     for v, k in hot:
@@ -54,7 +56,7 @@ def test_competitions(values, descending):
 
 
 def test_totals(values):
-    same(values, lambda d, g: g.totals(d, n=F.count(F.lit(1)), best=F.max("v"), first=F.min_by("v", "i")), ["g"])
+    same(values, lambda d, g: g.totals(d, n=F.count(F.lit(1)), best=F.max("v"), first=F.min_by("v", "i")), ["g"], split=True)
 
 
 def test_null_is_a_group(spark):
@@ -82,7 +84,7 @@ def test_votes_and_selection(runners):
 def test_context(runners):
     same(
         runners,
-        lambda d, g: race.race_context(d, g, tie=TIE).select(
+        lambda d, g: race.race_context(d.select(*CONTEXT_COLUMNS), g, tie=TIE).select(
             "race_id", "run_id", "has_first_starter", "speed_rank_in_race", "pace_scenario", "contested_pace", "settling"
         ),
     )
@@ -98,7 +100,7 @@ def test_picks(runners):
 def test_score(runners):
     got = same(
         runners,
-        lambda d, g: score.score_races(d, g, tie=TIE).select("race_id", "run_id", "cs", "crk", "cs_path", "csc"),
+        lambda d, g: score.score_races(d.select(*SCORE_COLUMNS), g, tie=TIE).select("race_id", "run_id", "cs", "crk", "cs_path", "csc"),
     )
     assert all(0 <= r[2] <= 1 for r in got)
 
@@ -120,28 +122,18 @@ def test_ordinal_ranks_have_no_gaps(runners):
         assert known == list(range(1, len(known) + 1))
 
 
-def test_records_of_a_big_race_come_in_parts(runners):
-    def work(d, g):
-        d = race.first_starter(_with_nested(d), g)
-        return payload.race_payload(d, g, tie=TIE, max_runners=50)
+def test_records_of_a_big_race_come_in_parts(values):
+    """Nested picks of a big group are cut; together the parts hold what one record would."""
+    picked = values.select(F.col("g").alias("race_id"), F.lit("main").alias("model"), F.col("i").cast("string").alias("run_id"))
+    picked = picked.withColumns({c: F.lit(None).cast("int") for c in payload.NESTED_PICK.values() if c != "run_id"})
 
-    whole = {r["race_id"]: r for r in work(runners, InTask(["race_id"])).collect()}
-    parts = per_group(runners, ["race_id"], work, max_rows=20).orderBy("race_id", "part").collect()
-    big = [p for p in parts if p["race_id"] == 0]
-    assert len(big) > 1 and all(len(p["runners"]) <= 50 for p in big)
-    assert [r for p in big for r in p["runners"]] == whole[0]["runners"]
-    assert all(p["fs"] == whole[0]["fs"] and p["done"] == whole[0]["done"] for p in big)
+    def nested(max_rows):
+        work = lambda d, g: payload.picks_by_race(d, g, max_picks=100)
+        return per_group(picked, ["race_id"], work, max_rows=max_rows).collect()
 
-
-def test_selections_and_compact_races(runners):
-    def selected(d, g):
-        d = race.pace(race.speed_rank(d, g), g, tie=TIE)
-        return race.selections(d, g, tie=TIE).select("race_id", "run_id", "votes", "top_idx", "sig_rankings", "settling", "u_list")
-
-    same(runners, selected)
-
-    def compact(d, g):
-        d = race.settling(race.pace(race.speed_rank(d, g), g, tie=TIE), g)
-        return payload.compact_races(d, g, tie=TIE)
-
-    same(runners, compact)
+    whole, parts = nested(10_000), nested(200)
+    assert [r["part"] for r in whole if r["race_id"] == "hot"] == [0]
+    assert sorted(r["part"] for r in parts if r["race_id"] == "hot") == [0, 1, 2]
+    runs = lambda found: sorted(p["run_id"] for r in found if r["race_id"] == "hot" for p in r["picks"]["main"])
+    assert runs(whole) == runs(parts) and len(runs(parts)) == 300
+    assert all(len(r["picks"]["main"]) <= 100 for r in parts)
