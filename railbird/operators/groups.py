@@ -93,7 +93,7 @@ class InTask:
     def totals(self, df: DataFrame, **totals: Column) -> DataFrame:
         """Add aggregates of the whole group to each of its rows."""
         w = self._window()
-        return df.select("*", *[c.over(w).alias(name) for name, c in totals.items()])
+        return df.withColumns({name: c.over(w) for name, c in totals.items()})
 
     def chunk(self, df: DataFrame, name: str, order: Sequence[Column], size: int) -> DataFrame:
         """Number the pieces a nested record of the group must be cut into: one is enough here."""
@@ -137,7 +137,7 @@ class Spread:
     def competitions(self, df: DataFrame, values: Mapping[str, tuple[Column, bool]]) -> DataFrame:
         # read once per value and once more for the join, so it must not be worked out anew each time
         df = durable(df.withColumns({f"_value_{name}": value for name, (value, _) in values.items()}))
-        out = df
+        out = df.drop(*values)
         for name, (_, descending) in values.items():
             value = f"_value_{name}"
             # equal values are counted before the shuffle, so a common one weighs no more than a rare one
@@ -151,7 +151,7 @@ class Spread:
     def totals(self, df: DataFrame, **totals: Column) -> DataFrame:
         df = durable(df)
         summed = df.groupBy(*self.keys).agg(*[c.alias(name) for name, c in totals.items()])
-        return _rejoin(df, summed, self.keys)
+        return _rejoin(df.drop(*totals), summed, self.keys)
 
     def chunk(self, df: DataFrame, name: str, order: Sequence[Column], size: int) -> DataFrame:
         return self.numbers(df, {name: order}).withColumn(name, F.floor((F.col(name) - 1) / size).cast("int"))
