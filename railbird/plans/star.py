@@ -7,6 +7,8 @@ DuckDB read alike, so that both sides of a check start from the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,12 +145,23 @@ def sql_columns(expressions: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {name}" for name, e in expressions.items())
 
 
+def _only(table_prefix: str) -> dict[str, str]:
+    return {name: e for name, e in RUNNER.items() if re.search(rf"\b{table_prefix}_", e)}
+
+
+OF_ORDER, OF_PART = _only("o"), _only("p")
+OF_LINE = {name: e for name, e in RUNNER.items() if name not in OF_ORDER and name not in OF_PART}
+
+
 def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    """Lines with their order's and part's columns, each worked out on its own side of the join."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *columns(OF_LINE))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", *columns(OF_ORDER))
+    parts = table(spark, sf_dir, "part").select("p_partkey", *columns(OF_PART))
     joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(
         parts, F.col("p_partkey") == F.col("l_partkey")
     )
-    return joined.select(*columns(RUNNER))
+    return joined.select(*RUNNER)
 
 
 def race_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
