@@ -118,14 +118,13 @@ def test_daily_ingest(played):
 def test_daily_reports_and_picks(played):
     assert played["picks"] == [("11", "loose", 1), ("11", "main", 1)]
     first = played["first"]
-    assert [(r["model"], r["picks"]) for r in first["summary"]] == [("main", 1), ("loose", 1)] or len(first["summary"]) == 2
+    assert sorted((r["model"], r["picks"]) for r in first["summary"]) == [("loose", 1), ("main", 1)]
     assert first["counts"] == [{"races": 1, "resulted": 0, "pending": 1, "primary_picks": 1}]
     assert first["ratings"][0]["matched"] == 1
 
 
 def test_refresh(played):
     assert played["dry"] == played["refreshed"] == (1, 1)
-    assert played["prices"].count() == 2 + 0
     assert rows(played["prices"].select("run_id", "fixed_win_price")) == [("11", 4.0), ("11", 4.5)]
 
 
