@@ -205,13 +205,13 @@ def run_features(
     ``race_distance``, ``race_going`` and ``peak_form_number``. Every target comes out, with the
     counts at zero where it has no usable run.
     """
-    joined = runs.join(targets, run)
     marks = range(1, IN_STRING + 1)
-    usable = joined.where(
-        _usable(F.col("wpr"), F.col("isBarrierTrial"), F.col("date").try_cast("date"), F.col("race_date"))
-    )
 
     def features(df: DataFrame, groups: Groups) -> DataFrame:
+        # joined here, after runners with very many runs were set apart, so that their join can be split
+        df = df.join(targets, run).where(
+            _usable(F.col("wpr"), F.col("isBarrierTrial"), F.col("date").try_cast("date"), F.col("race_date"))
+        )
         df = groups.numbers(df, {"_n": [F.col(c) if isinstance(c, str) else c for c in order]})
         df = df.withColumns({f"_{p}": c for p, c in _sectionals(lambda name: F.col(name)).items()})
         nth = F.col("_n")
@@ -256,7 +256,7 @@ def run_features(
         )
         return counted
 
-    counted = per_group(usable, [run], features, probe=runs, max_rows=max_rows)
+    counted = per_group(runs, [run], features, max_rows=max_rows)
     out = targets.join(counted, run, "left")
     known_distance = truthy(F.col("race_distance")).isNotNull()
     runs_n = F.coalesce(F.col("runs_with_wpr"), F.lit(0))

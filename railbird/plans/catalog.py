@@ -27,12 +27,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def over_races(
-    spark: SparkSession, sf_dir: str, work: Callable[[DataFrame, Groups], DataFrame], runners: DataFrame | None = None
-) -> DataFrame:
-    """Run a within-race operator over the star schema's races; group sizes come from the key column alone."""
-    rows = star.runners(spark, sf_dir) if runners is None else runners
-    return per_group(rows, ["race_id"], work, probe=star.race_sizes(spark, sf_dir))
+def over_races(spark: SparkSession, sf_dir: str, work: Callable[[DataFrame, Groups], DataFrame]) -> DataFrame:
+    """Run a within-race operator over the star schema's races.
+
+    Oversized races are set apart on the lines, before these are joined to anything; sizes come from
+    the key column alone.
+    """
+    lines = star.lines(spark, sf_dir)
+    return per_group(
+        lines,
+        ["race_id"],
+        lambda some, groups: work(star.runners_of(spark, sf_dir, some), groups),
+        probe=lines.select("race_id"),
+    )
 
 
 def rounded(expression: str, digits: int) -> str:

@@ -153,22 +153,26 @@ OF_ORDER, OF_PART = _only("o"), _only("p")
 OF_LINE = {name: e for name, e in RUNNER.items() if name not in OF_ORDER and name not in OF_PART}
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as they are, under their race."""
+    return table(spark, sf_dir, "lineitem").withColumn("race_id", F.col("l_orderkey"))
+
+
 def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runners_of(spark, sf_dir, lines(spark, sf_dir))
+
+
+def runners_of(spark: SparkSession, sf_dir: str, some: DataFrame) -> DataFrame:
     """Lines with their order's and part's columns, each worked out on its own side of the join."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *columns(OF_LINE))
+    entered = some.select("l_orderkey", "l_partkey", *columns(OF_LINE))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", *columns(OF_ORDER))
     parts = table(spark, sf_dir, "part").select("p_partkey", *columns(OF_PART))
-    joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(
+    joined = entered.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(
         parts, F.col("p_partkey") == F.col("l_partkey")
     )
     return joined.select(*RUNNER)
 
 
-def race_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows per race, without the joins."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("race_id"))
-
-
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*columns(RUN))
 

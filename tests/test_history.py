@@ -145,3 +145,22 @@ def test_stats(spark):
     assert COMBO_ARRAYS[0] == "jockeyTrainerStats"
     assert [(r["jockey_win_pct_90d"], r["trainer_win_pct_365d"]) for r in got] == [(2.0, None), (None, None), (None, None)]
     assert [(r["jt_combo_win_pct"], r["jt_combo_rides"]) for r in got] == [(4.0, 8), (6.0, 3), (7.0, None)]
+
+
+def test_a_runner_with_very_many_runs(spark):
+    """A runner set apart for its size gets the same features."""
+    runs = spark.range(400).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE CAST(id % 40 AS INT) END AS run_id", "CAST(id AS INT) AS form_pos", "CAST(id AS INT) AS formNumber",
+        "CAST(date_add(DATE '2023-01-01', CAST(id * 7 % 600 AS INT)) AS STRING) AS date", "CAST(id % 50 AS DOUBLE) AS wpr", "false AS isBarrierTrial",
+        "CAST(800 + id % 9 * 100 AS INT) AS distance", "IF(id % 2 = 0, 'Good 4', 'Soft 5') AS going", "CAST(id % 12 AS INT) AS positionFinish",
+        "CAST(id % 10 AS INT) AS positionSettled", "CAST(id % 8 AS INT) AS position800m", "CAST(id % 7 AS INT) AS position400m",
+        "id % 5 / 4 AS margin800m", "id % 3 / 2 AS margin400m", "id % 4 / 8 AS marginFinish", "0.25D AS raceShapeEarly", "0.5D AS raceShapeMid",
+        "CAST(NULL AS DOUBLE) AS raceShapeLate", "50 + id % 6 / 2 AS weightCarried",
+    ).repartition(5)
+    targets = spark.range(40).selectExpr(
+        "CAST(id AS INT) AS run_id", "DATE '2024-05-01' AS race_date", "1000 AS race_distance", "'good 4' AS race_going",
+        "CAST(id * 3 AS INT) AS peak_form_number",
+    )
+    plain = sorted(history.run_features(runs, targets).collect(), key=lambda r: r["run_id"])
+    split = sorted(history.run_features(runs, targets, max_rows=50).collect(), key=lambda r: r["run_id"])
+    assert plain[0]["runs_with_wpr"] > 100 and split == plain
