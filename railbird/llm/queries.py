@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import shards, wumanber
+from railbird.llm import langid, mixture, quality, shards, wumanber
+from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,3 +104,78 @@ def op7_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         wumanber.contaminated().alias("contaminated"),
     )
+
+
+LEVELS = ("domain", "lang", "source")
+# the tables have no domains: sources are dealt to four by number
+DOMAIN = "concat('d', cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4)"
+TOKENS = r"size(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0))"
+DOMAIN_WEIGHTS = {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}
+LANG_WEIGHTS = {"en": 0.4, "fr": 0.25, "de": 0.2, "es": 0.15}
+WEIGHTS = DOMAIN_WEIGHTS | {f"{d}/{x}": w for d in DOMAIN_WEIGHTS for x, w in LANG_WEIGHTS.items()}
+SHARE, EPOCHS, SEED = 0.75, 2, 17
+
+
+def _weight_sql(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}e0" for k, w in weights.items()) + " ELSE 1e0 END"
+
+
+def _deal_sql(name: str, children: str, budget: str, parent: str) -> str:
+    """Water-filling of each parent's budget over its children, as the level at which all is dealt."""
+    by = f"PARTITION BY {parent} " if parent else ""
+    return f"""{name}_l AS (SELECT *, ({budget} - (sum(room) OVER ({by}ORDER BY room / weight, weight, path ROWS UNBOUNDED PRECEDING) - room))
+  / sum(weight) OVER ({by}ORDER BY room / weight, weight, path ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM {children}),
+{name} AS (SELECT * EXCLUDE (l), least(room, coalesce(weight * max(CASE WHEN room > l * weight THEN l END) OVER ({by}), room)) AS given
+  FROM {name}_l)"""
+
+
+MIX_SQL = f"""sized AS (SELECT doc_id, 'd' || (CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4) AS domain, lang, source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM docs),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, {EPOCHS} * CAST(sum(n_tokens) AS DOUBLE) AS room, 1e0 AS weight,
+  concat_ws('/', domain, lang, source) AS path FROM sized GROUP BY ALL),
+langs AS (SELECT domain, lang, sum(room) AS room, {_weight_sql("lang", LANG_WEIGHTS)} AS weight, domain || '/' || lang AS path
+  FROM leaves GROUP BY domain, lang),
+domains AS (SELECT domain, sum(room) AS room, {_weight_sql("domain", DOMAIN_WEIGHTS)} AS weight, domain AS path,
+  (SELECT {SHARE} * sum(tokens) FROM leaves) AS budget FROM langs GROUP BY domain),
+{_deal_sql("domains_given", "domains", "budget", "")},
+langs_in AS (SELECT langs.*, given AS budget FROM langs JOIN (SELECT domain, given FROM domains_given) USING (domain)),
+{_deal_sql("langs_given", "langs_in", "budget", "domain")},
+leaves_in AS (SELECT leaves.*, given AS budget FROM leaves JOIN (SELECT domain, lang, given FROM langs_given) USING (domain, lang)),
+{_deal_sql("leaves_given", "leaves_in", "budget", "domain, lang")},
+budgets AS (SELECT domain, lang, source, tokens, leaf_budget, leaf_budget // tokens AS reads FROM
+  (SELECT *, CAST(floor(given + 1e-6) AS BIGINT) AS leaf_budget FROM leaves_given)),
+ordered AS (SELECT sized.*, tokens, leaf_budget, reads, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+  ORDER BY md5('{SEED}/' || reads || '/' || doc_id) ROWS UNBOUNDED PRECEDING) AS upto FROM sized JOIN budgets USING (domain, lang, source)),
+mixed AS (SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, leaf_budget,
+  CAST(reads + CASE WHEN upto <= leaf_budget - reads * tokens AND leaf_budget > reads * tokens THEN 1 ELSE 0 END AS INT) AS copies FROM ordered)"""
+
+
+@query("op8_source_mixture", f"WITH docs AS (SELECT * FROM documents), {MIX_SQL} SELECT * FROM mixed")
+def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken to fill three quarters of the tokens by domain, language and source."""
+    docs = table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN))
+    mixed = mixture.mix(docs, LEVELS, TOKENS, WEIGHTS, SHARE, EPOCHS, SEED)
+    return mixed.select("doc_id", *LEVELS, "n_tokens", "leaf_budget", "copies")
+
+
+QUALITY_THRESHOLD = 0.7
+
+
+@query("op5_quality_scores")
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document, learned from the labels of three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.remainder("doc_id", 4) == 2
+    stats = durable(quality.with_statistics(docs).select("doc_id", held_out.alias("held_out"), "stats"))
+    train = quality.training_rows(stats.where(~F.col("held_out")), table(spark, sf_dir, "labels"), "quality")
+    scored = quality.score(stats, quality.fit(durable(train)), QUALITY_THRESHOLD)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_languages")
+def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = quality.remainder("doc_id", 5) == 0
+    filters = langid.fit(docs.where(~held_out))
+    return langid.identify(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
