@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import langid, mixture, quality, shards, wumanber
+from railbird.llm import langid, mixture, quality, shards, syncmers, wumanber
 from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +179,9 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = quality.remainder("doc_id", 5) == 0
     filters = langid.fit(docs.where(~held_out))
     return langid.identify(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_syncmer_fingerprints")
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of each document and of its edited text, and how near they and the next document's are."""
+    return syncmers.compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
