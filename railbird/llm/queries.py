@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import langid, mixture, quality, shards, syncmers, wumanber
+from railbird.llm import langid, mixture, quality, shards, syncmers, warc, wumanber
 from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,22 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprints of each document and of its edited text, and how near they and the next document's are."""
     return syncmers.compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def base32_sql(digest: str) -> str:
+    parts = " || ".join(f"to_base(CAST('0x' || substr({digest}, {1 + 10 * i}, 10) AS BIGINT), 32, 8)" for i in range(4))
+    return f"translate({parts}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+@query(
+    "op4_warc_round_trip",
+    f"""WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS latest FROM payloads)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {base32_sql("hex")} AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to FROM last""",
+)
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back by following the records from the beginning of each file."""
+    read = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
