@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import langid, mixture, quality, shards, syncmers, warc, wumanber
+from railbird.llm import extract, langid, mixture, quality, shards, syncmers, warc, wumanber
 from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +204,9 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back by following the records from the beginning of each file."""
     read = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_main_texts")
+def op9_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return extract.main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
