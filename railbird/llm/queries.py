@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import extract, langid, mixture, quality, shards, syncmers, warc, wumanber
+from railbird.llm import extract, langid, mixture, neardup, quality, shards, syncmers, warc, wumanber
 from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,3 +210,12 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of each page."""
     return extract.main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document by links of 85 percent or more of three-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Near(3, 85))
