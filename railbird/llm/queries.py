@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import extract, langid, mixture, neardup, quality, shards, syncmers, warc, wumanber
+from railbird.llm import extract, katz, langid, mixture, neardup, quality, shards, syncmers, warc, wumanber
 from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,3 +219,13 @@ WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document by links of 85 percent or more of three-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Near(3, 85))
+
+
+@query("op6_katz_scores")
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of each document by a bigram model learned from six sevenths of them."""
+    docs = katz.read_chunks(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "chunk")
+    docs = docs.withColumn("held_out", quality.remainder("doc_id", 7) == 2)
+    return katz.score(docs).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
