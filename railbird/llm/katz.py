@@ -66,8 +66,10 @@ def tokens(documents: list[bytes]) -> Tokens:
 
 def cuts(keys: np.ndarray, parts: int) -> list[tuple[int, slice]]:
     """The partitions that sorted keys lie in, each with its run of keys."""
+    if not len(keys):
+        return []
     of = ((keys >> U(32)) * U(parts)) >> U(32)
-    begins = np.flatnonzero(np.diff(of, prepend=U(parts))) if len(keys) else np.empty(0, dtype=np.int64)
+    begins = np.flatnonzero(np.diff(of, prepend=U(parts)))
     ends = [*begins[1:].tolist(), len(keys)]
     return [(int(of[a]), slice(a, b)) for a, b in zip(begins.tolist(), ends, strict=True)]
 
@@ -286,7 +288,6 @@ def _told(given: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scored(own: pa.Table, given: pa.Table, model: Model, left: float, parts: int) -> pa.Table:
-    schema_doc = own.column("_doc").type
     documents = [x for c in own.column("_text").chunks for x in texts(c)]
     chunk = own.column("chunk")[0].as_py()
     told = given.to_pylist()
@@ -366,8 +367,7 @@ def _scored(own: pa.Table, given: pa.Table, model: Model, left: float, parts: in
                     "times": packed(times[run].astype(np.int32)),
                 }
             )
-    schema = doc.schema
-    return pa.concat_tables([doc, pa.Table.from_pylist(rows, schema=schema)]) if rows else doc.cast(pa.schema([f if f.name != "doc" else pa.field("doc", schema_doc) for f in schema]))
+    return pa.concat_tables([doc, pa.Table.from_pylist(rows, schema=doc.schema)])
 
 
 def _weighted(table: pa.Table) -> pa.Table:
