@@ -139,8 +139,8 @@ def mix(
 
 
 def _taken(counted: DataFrame, cuts: DataFrame, paths: list[str], seed: int, doc_id: str) -> DataFrame:
-    some = F.col("leaf_budget") > F.col("full") * F.col("tokens")
-    inside = some & (F.col("cut").isNull() | (order_key(seed, "full", doc_id) < F.col("cut")))
-    return counted.join(cuts, paths).withColumn("copies", (F.col("full") + inside.cast("long")).cast("int")).drop(
-        "tokens", "full", "cut"
-    )
+    working = {c: f"_{c}" for c in ("tokens", "full", "cut")}
+    dealt = counted.join(cuts.withColumnsRenamed(working), paths)
+    some = F.col("leaf_budget") > F.col("_full") * F.col("_tokens")
+    inside = some & (F.col("_cut").isNull() | (order_key(seed, "_full", doc_id) < F.col("_cut")))
+    return dealt.withColumn("copies", (F.col("_full") + inside.cast("long")).cast("int")).drop(*working.values())

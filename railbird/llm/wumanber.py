@@ -169,15 +169,18 @@ def find_passages(
 
     if slices <= 1:
         return _search(docs, text, part(0), width)
+    # what is found depends on the text alone, so equal texts are put together by a digest
     kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    marked = docs.select(*kept).withColumn("_row", F.monotonically_increasing_id())
-    found = [_search(marked.select("_row", text), text, part(k), width).drop(text) for k in range(slices)]
-    whole = reduce(DataFrame.unionByName, found).groupBy("_row").agg(
+    keyed = docs.select(*kept).withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    narrow = keyed.select("_key", F.col(text).alias("_text"))
+    first = [F.first(c).alias(c) for c in ("n_words", "items", "spans")]
+    found = [_search(narrow, "_text", part(k), width).groupBy("_key").agg(*first) for k in range(slices)]
+    whole = reduce(DataFrame.unionByName, found).groupBy("_key").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("_all"),
     )
-    return marked.join(_joined(whole), "_row").select(*kept, "n_words", "n_hit", "items", "spans")
+    return keyed.join(_joined(whole), "_key").select(*kept, "n_words", "n_hit", "items", "spans")
 
 
 def _joined(df: DataFrame) -> DataFrame:
