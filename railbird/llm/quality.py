@@ -228,4 +228,5 @@ def remainder(doc_id: str, parts: int):
 def training_rows(with_stats: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
     """``stats`` and ``label`` of the labelled documents; a document with several labels counts once for each."""
     marks = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("label"))
-    return with_stats.join(marks, F.col(doc_id) == F.col("_id")).select("stats", "label")
+    rows = with_stats.select(F.col(doc_id).alias("_doc"), "stats")
+    return rows.join(marks, F.col("_doc") == F.col("_id")).select("stats", "label")
