@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railbird.functions.scalars import first_truthy, is_true, number, truthy, whole
@@ -20,9 +20,17 @@ LISTED_PRIZE = 1000
 BET_PRIZE = 20000
 
 
+def newest(df: DataFrame, key: str, landed: str = "landed") -> DataFrame:
+    """The documents of each key that landed last, where the feed says when they did."""
+    if landed not in df.columns:
+        return df
+    w = Window.partitionBy(key).orderBy(F.col(landed).desc_nulls_last())
+    return df.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") == 1).drop("_rank", landed)
+
+
 def calendar_races(calendar: DataFrame, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
     """Calendar days to races: no trials, no abandoned races, prize at least ``LISTED_PRIZE``."""
-    days = calendar.withColumn("date", F.col("date").try_cast("date"))
+    days = newest(calendar, "date").withColumn("date", F.col("date").try_cast("date"))
     if first is not None:
         days = days.where(F.col("date") >= F.lit(first))
     if last is not None:
@@ -51,7 +59,7 @@ def calendar_races(calendar: DataFrame, first: dt.date | None = None, last: dt.d
 
 def detail_runners(detail: DataFrame) -> DataFrame:
     """Race detail to one row per runner that was not scratched, in the order listed."""
-    rows = detail.select(
+    rows = newest(detail, "raceId").select(
         F.col("raceId").cast("string").alias("race_id"), F.posexplode("runners").alias("row_pos", "d")
     ).where(~is_true(F.col("d.isScratched")))
     return rows.select(
@@ -77,17 +85,17 @@ def runner_rows(
 ) -> DataFrame:
     """Runner rows of the given races: race and runner attributes, net rating, form features, strike rates.
 
-    Lookups that miss leave NULLs. Net ratings are ranked over all entries of a race's cache.
+    Of documents that landed several times the last counts. Lookups that miss leave NULLs. Net ratings are ranked over all entries of a race's cache.
     """
     runners = detail_runners(detail).join(races, "race_id")
     # a race's cache is one record, so its entries are few
     by_rating = [F.col("wpr_nett").desc_nulls_last(), F.col("row_pos")]
-    nett = InTask(["race_id"]).numbers(net_ratings(caches), {"_n": by_rating})
+    nett = InTask(["race_id"]).numbers(net_ratings(newest(caches, "raceId")), {"_n": by_rating})
     nett = keep_last(nett, ["race_id", "run_id"], ["row_pos"]).select(
         "race_id", "run_id", "wpr_nett", F.when(F.col("wpr_nett").isNotNull(), F.col("_n")).alias("wpr_rank")
     )
-    rows = runners.join(nett, ["race_id", "run_id"], "left").join(runner_stats(stats), "run_id", "left")
-    known = forms.select(F.col("runId").cast("string").alias("run_id"), "form", "peak")
+    rows = runners.join(nett, ["race_id", "run_id"], "left").join(runner_stats(newest(stats, "runId")), "run_id", "left")
+    known = newest(forms, "runId").select(F.col("runId").cast("string").alias("run_id"), "form", "peak")
     rows = rows.join(known, "run_id", "left").withColumn("_known", F.col("form").isNotNull())
     kept = rows.columns
     featured = form_features(rows, race_date="date", race_distance="distance", race_going="going")
@@ -110,7 +118,7 @@ def runner_rows(
 def live_prices(detail: DataFrame) -> DataFrame:
     """Win prices above 1 of runners not scratched; the last one listed for a run."""
     rows = (
-        detail.select(F.posexplode("runners").alias("row_pos", "d"))
+        newest(detail, "raceId").select(F.posexplode("runners").alias("row_pos", "d"))
         .where(~is_true(F.col("d.isScratched")) & F.col("d.runId").isNotNull())
         .select(F.col("d.runId").cast("string").alias("run_id"), number("d.fixedWinPrice").alias("price"), "row_pos")
         .where(F.col("price") > 1)
@@ -120,7 +128,7 @@ def live_prices(detail: DataFrame) -> DataFrame:
 
 def result_rows(results: DataFrame) -> DataFrame:
     """Result feed to finished runners; entries without a run or a finish are dropped."""
-    rows = results.select(F.col("raceId").cast("string").alias("race_id"), F.posexplode("runners").alias("row_pos", "r"))
+    rows = newest(results, "raceId").select(F.col("raceId").cast("string").alias("race_id"), F.posexplode("runners").alias("row_pos", "r"))
     return rows.where(F.col("r.runId").isNotNull() & truthy(F.col("r.positionFinish")).isNotNull()).select(
         "race_id",
         F.col("r.runId").cast("string").alias("run_id"),
@@ -219,30 +227,47 @@ def performance_columns(blocks: Sequence[str] = PERFORMANCE_BLOCKS) -> list[Colu
     ]
 
 
+def of_day(stated: Column, day: Column) -> Column:
+    """Whether a document is of a meeting's day; one that does not say is."""
+    return stated.isNull() | (stated == day)
+
+
 def field_runners(meetings: DataFrame, fields: DataFrame) -> DataFrame:
-    """Fields of the given meetings to one wide row per runner.
+    """Fields of the given meetings, by day and id, to one wide row per runner.
 
     A race whose prize is known and below ``BET_PRIZE`` is dropped; an unknown prize stays.
     """
     prize = F.coalesce(whole("race.prizeMoney"), F.lit(0))
     known = meetings.where(truthy(F.col("meetingId"), "").isNotNull()).select("date", "meetingId", "track")
+    dated = fields if "date" in fields.columns else fields.withColumn("date", F.lit(None).cast("date"))
+    # places count through all races of a meeting, so no two runners share one
+    sizes = F.transform("races", lambda r: F.coalesce(F.array_size(r["runners"]), F.lit(0)))
+    listed = dated.select(
+        F.col("meetingId").alias("_meeting"), F.col("date").alias("_day"), sizes.alias("_sizes"),
+        F.posexplode("races").alias("_place", "race"),
+    )
+    before = F.aggregate(F.slice("_sizes", F.lit(1), F.col("_place")), F.lit(0), lambda n, size: n + size)
     races = (
-        fields.select("meetingId", F.posexplode("races").alias("race_pos", "race"))
-        .where((prize == 0) | (prize >= BET_PRIZE))
-        .join(known, "meetingId")
+        listed.where((prize == 0) | (prize >= BET_PRIZE))
+        .withColumn("_before", before)
+        .join(known, (F.col("_meeting") == F.col("meetingId")) & of_day(F.col("_day"), F.col("date")))
     )
-    runners = races.select("*", F.posexplode("race.runners").alias("runner_pos", "runner"))
+    runners = races.select("*", F.posexplode("race.runners").alias("_pos", "runner"))
     return runners.select(
         *[F.col(path).alias(name) for name, path in RUNNER_PATHS.items()],
         *record_columns(),
         *performance_columns(),
-        (F.col("race_pos") * 1000 + F.col("runner_pos")).alias("row_pos"),
+        (F.col("_before") + F.col("_pos")).alias("row_pos"),
     )
 
 
 def rating_rows(ratings: DataFrame, meetings: DataFrame) -> DataFrame:
     """Rating items with the day, meeting and venue they belong to; padded run styles trimmed."""
     venues = meetings.select(
-        F.col("date").alias("ext_date"), F.col("meetingId").alias("ext_meeting_id"), F.col("track.name").alias("ext_venue")
+        F.col("date").alias("_day"), F.col("meetingId").alias("_meeting"), F.col("track.name").alias("ext_venue")
+    )
+    dated = ratings if "ext_date" in ratings.columns else ratings.withColumn("ext_date", F.lit(None).cast("date"))
+    joined = dated.withColumn("runStyle", F.trim("runStyle")).join(
+        venues, (F.col("ext_meeting_id") == F.col("_meeting")) & of_day(F.col("ext_date"), F.col("_day"))
     )
-    return ratings.withColumn("runStyle", F.trim("runStyle")).join(venues, "ext_meeting_id")
+    return joined.withColumn("ext_date", F.col("_day")).drop("_day", "_meeting")

@@ -96,8 +96,9 @@ class InTask:
         return df.withColumns({name: c.over(w) for name, c in totals.items()})
 
     def chunk(self, df: DataFrame, name: str, order: Sequence[Column], size: int) -> DataFrame:
-        """Number the pieces a nested record of the group must be cut into: one is enough here."""
-        return df.withColumn(name, F.lit(0))
+        """Number the pieces of ``size`` rows that a nested record of the group is cut into."""
+        place = F.row_number().over(self._window().orderBy(*order))
+        return df.withColumn(name, F.floor((place - 1) / size).cast("int"))
 
 
 class Spread:

@@ -52,4 +52,11 @@ def with_runners(*ctes: str, select: str) -> str:
 
 
 def load_all() -> None:
-    from railbird.plans import feed_queries, history_queries, race_queries, stream_queries, table_queries  # noqa: F401
+    from railbird.plans import (  # noqa: F401
+        feed_queries,
+        history_queries,
+        job_queries,
+        race_queries,
+        stream_queries,
+        table_queries,
+    )

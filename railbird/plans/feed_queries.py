@@ -19,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str, body: str, *keep: st
     return rows.select(*[F.expr(k) for k in keep], F.expr(f"to_json({body})").alias("value"))
 
 
+def landed_twice(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """The same documents as they came first and as they came again."""
+    return earlier.withColumn("landed", F.lit(1)).unionByName(later.withColumn("landed", F.lit(2)))
+
+
 def struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
@@ -102,28 +107,33 @@ def _run_id(k: int) -> str:
 
 
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = [
-        struct(
-            {
-                "runId": _run_id(k),
-                "isScratched": e["scratched"],
-                "tabNumber": f"{k}",
-                "barrier": f"CAST(o_custkey % 10 + {k} AS INT)",
-                "horse": f"concat('Horse ', {k})",
-                "jockey": "o_orderpriority",
-                "trainer": "o_orderstatus",
-                "rating": e["rating"],
-                "ratingPrice": "o_totalprice / 5000",
-                "speed": f"CAST(o_custkey % 30 + {k} AS DOUBLE)",
-                "fixedWinPrice": e["price"],
-                "sectEarly": "CAST(NULL AS DOUBLE)",
-                "weightCarried": f"50.5e0 + {k}",
-            }
-        )
+    """Every race's detail twice: at first other prices and ratings, and one runner more."""
+    entries = {
+        k: {
+            "runId": _run_id(k),
+            "isScratched": e["scratched"],
+            "tabNumber": f"{k}",
+            "barrier": f"CAST(o_custkey % 10 + {k} AS INT)",
+            "horse": f"concat('Horse ', {k})",
+            "jockey": "o_orderpriority",
+            "trainer": "o_orderstatus",
+            "rating": e["rating"],
+            "ratingPrice": "o_totalprice / 5000",
+            "speed": f"CAST(o_custkey % 30 + {k} AS DOUBLE)",
+            "fixedWinPrice": e["price"],
+            "sectEarly": "CAST(NULL AS DOUBLE)",
+            "weightCarried": f"50.5e0 + {k}",
+        }
         for k, e in _ENTRIES.items()
-    ]
-    body = struct({"raceId": "o_orderkey * 10 + 1", "runners": f"array({', '.join(entries)})"})
-    return landing.parse_feed(documents(spark, sf_dir, "orders", body), "value", schemas.DETAIL)
+    }
+    early = [struct({**e, "rating": "1.0e0", "fixedWinPrice": "'99'", "isScratched": "false"}) for e in entries.values()]
+    early.append(struct({**entries[1], "runId": _run_id(4)}))
+
+    def landed(runners: list[str]) -> DataFrame:
+        body = struct({"raceId": "o_orderkey * 10 + 1", "runners": f"array({', '.join(runners)})"})
+        return landing.parse_feed(documents(spark, sf_dir, "orders", body), "value", schemas.DETAIL)
+
+    return landed_twice(landed(early), landed([struct(e) for e in entries.values()]))
 
 
 def _entries_sql() -> str:
@@ -183,18 +193,19 @@ _PAST = (
     ).replace(") , entries", "), entries", 1),
 )
 def runner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runner rows from all feeds of a race: detail, net ratings, form and statistics."""
+    """Runner rows from all feeds of a race, each landed twice: detail, net ratings, form and statistics."""
     orders = star.table(spark, sf_dir, "orders")
     # the ratings differ by more than their rounding, so ranking before or after it is the same
     adjustments = [
         struct({"runId": _run_id(k), "defaults": struct({"wprBase": base, "wprAdjustment": "0.0e0"}), "adjustments": struct({"wprAdjustment": adj})})
         for k, base, adj in ((1, "o_totalprice / 1000", "0.0e0"), (2, "o_totalprice / 1000", "2.0e0"), (3, "CAST(NULL AS DOUBLE)", "1.0e0"))
     ]
-    caches = landing.parse_feed(
-        documents(spark, sf_dir, "orders", struct({"raceId": "o_orderkey * 10 + 1", "runAdjustments": f"array({', '.join(adjustments)})"})),
-        "value",
-        schemas.NET_RATINGS,
-    )
+    def cached(more: str) -> DataFrame:
+        listed = ", ".join(a.replace("o_totalprice / 1000", f"o_totalprice / 1000 + {more}") for a in adjustments)
+        body = struct({"raceId": "o_orderkey * 10 + 1", "runAdjustments": f"array({listed})"})
+        return landing.parse_feed(documents(spark, sf_dir, "orders", body), "value", schemas.NET_RATINGS)
+
+    caches = landed_twice(cached("3.5e0"), cached("0.0e0"))
     past = [
         struct(
             {
@@ -213,10 +224,14 @@ def runner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         landing.parse_feed(orders.select(F.expr(f"concat('{{\"runId\":', {_run_id(2)}, ',\"form\":[]}}')").alias("value")), "value", schemas.FORM)
     )
     domain = struct({"region": "'All'", "startingPrice": "'all'", "periodDays": "90", "jumpsOrFlats": "'flatsOnly'"})
-    stat = struct({"domain": domain, "winPercent": "12.5e0"})
-    stats = landing.parse_feed(
-        documents(spark, sf_dir, "orders", struct({"runId": _run_id(2), "jockeyStats": f"array({stat})"})), "value", schemas.STATS
-    )
+    forms = landed_twice(forms.withColumn("form", F.slice("form", 1, 1)), forms)
+
+    def rated(percent: str) -> DataFrame:
+        one = struct({"domain": domain, "winPercent": percent})
+        body = struct({"runId": _run_id(2), "jockeyStats": f"array({one})"})
+        return landing.parse_feed(documents(spark, sf_dir, "orders", body), "value", schemas.STATS)
+
+    stats = landed_twice(rated("99.5e0"), rated("12.5e0"))
     rows = flatten.runner_rows(flatten.calendar_races(calendar(spark, sf_dir)), detail(spark, sf_dir), caches, forms, stats)
     return rows.select(
         "race_id", "run_id", "date", "prize_money", "start_time", "horse", "rating", "speed_rating", "fixed_win_price", "wpr_nett",
@@ -285,6 +300,15 @@ def _leaf(path: str) -> str:
     return found
 
 
+_DAY = "date_add(DATE '2024-01-01', CAST(p_partkey % 30 AS INT))"
+
+
+def _two_days(meetings: DataFrame) -> DataFrame:
+    """Each meeting, and another one of the same id forty days later."""
+    other = meetings.withColumns({"date": F.date_add("date", 40), "track": F.col("track").withField("name", F.lit("elsewhere"))})
+    return meetings.unionByName(other)
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     races = []
     for r, prize in _PRIZES.items():
@@ -292,7 +316,7 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars = {n: _value(f"race.{n}", t, r) for n, t in schemas.FIELD_RACE.items() if n != "prizeMoney"}
         races.append(struct({**scalars, "prizeMoney": prize, "runners": f"array({', '.join(runners)})"}))
     body = struct({"meetingId": "CAST(p_partkey AS STRING)", "races": f"array({', '.join(races)})"})
-    return landing.parse_feed(documents(spark, sf_dir, "part", body), "value", schemas.FIELDS)
+    return landing.parse_feed(documents(spark, sf_dir, "part", body, f"{_DAY} AS date"), "value", schemas.FIELDS)
 
 
 def _field_columns_sql(r: int, seed: int) -> str:
@@ -323,12 +347,12 @@ def _field_columns_sql(r: int, seed: int) -> str:
 )
 def field_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second provider's fields as wide rows: 40 scalars, 8 records and 6 performance blocks."""
-    meetings = star.table(spark, sf_dir, "part").where("p_size <> 5").select(
-        F.expr("date_add(DATE '2024-01-01', CAST(p_partkey % 30 AS INT))").alias("date"),
-        F.col("p_partkey").cast("string").alias("meetingId"),
+    meetings = star.table(spark, sf_dir, "part").select(
+        F.expr(_DAY).alias("date"),
+        F.expr("CASE WHEN p_size = 5 THEN concat('x', p_partkey) ELSE CAST(p_partkey AS STRING) END").alias("meetingId"),
         F.expr("named_struct('name', p_name, 'state', p_brand, 'surface', p_type)").alias("track"),
     )
-    return flatten.field_runners(meetings, _fields(spark, sf_dir)).drop("row_pos")
+    return flatten.field_runners(_two_days(meetings), _fields(spark, sf_dir)).drop("row_pos")
 
 
 _ITEM = (
@@ -342,6 +366,7 @@ def _rating_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = f"concat('[', {first}, ',5,null,', {second}, ']')"
     nested = f"concat('{{\"races\":[{{\"raceId\":\"r', p_partkey, '\",\"number\":4,\"runners\":[', {first}, ',\"x\"]}},{{\"raceId\":\"e\",\"number\":5}}]}}')"
     return star.table(spark, sf_dir, "part").select(
+        F.expr(_DAY).alias("ext_date"),
         F.col("p_partkey").cast("string").alias("ext_meeting_id"),
         F.expr(f"CASE WHEN p_size % 4 = 0 THEN {nested} ELSE {flat} END").alias("value"),
     )
@@ -358,11 +383,11 @@ def rating_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rating documents of both shapes, with stray entries among the items."""
     items = landing.split_shapes(_rating_documents(spark, sf_dir), "value", schemas.RATING_ITEM)
     meetings = star.table(spark, sf_dir, "part").select(
-        F.expr("date_add(DATE '2024-01-01', CAST(p_partkey % 30 AS INT))").alias("date"),
+        F.expr(_DAY).alias("date"),
         F.col("p_partkey").cast("string").alias("meetingId"),
         F.expr("named_struct('name', p_type)").alias("track"),
     )
-    return flatten.rating_rows(items, meetings).select(
+    return flatten.rating_rows(items, _two_days(meetings)).select(
         "ext_meeting_id", "ext_date", "ext_venue", "runnerId", "raceNo", "runnerName", "aiRank", "runStyle", "isReliable",
         "ext_race_id", "ext_race_number",
     )

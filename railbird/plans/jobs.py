@@ -7,6 +7,7 @@ clock: the moment a job works at is a parameter.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ class Feeds:
             "stats": schemas.STATS,
             "results": schemas.RESULTS,
         }
+        # a feed may hold a document several times; the newest file tells which counts
         return cls(**{k: landing.read_feed(spark, f"{root}/{k}", d, names).drop("_file") for k, d in ddl.items()})
 
 
@@ -107,23 +109,32 @@ def daily(
     ratings = store.read("ext_ratings", f"{schemas.RATINGS}, ingest_seq BIGINT, row_pos INT", merge=True)
     joined = merge.join_ratings(merged, ratings)
     fitted = schemas.conform(joined, RUNNERS)
-    table = store.overwrite_partitions("runners", fitted, ["date"])
+    table = store.overwrite_partitions("runners", fitted, "date", instead_of=runners)
     runners = table if since is None else table.where(F.col("date") >= F.lit(since))
 
-    snapshot = prices.snapshot(runners, as_of).withColumn("snapshot_date", F.col("snapshot_time").cast("date"))
-    store.append("prices", snapshot, ["snapshot_date"])
-
-    picked = judge(store, runners, rule_book)
-    records = publish(store, runners, spec)
+    record_prices(store, runners, as_of)
     book = rule_book or rules.default_rules()
+    picked = judge(store, runners, book)
+    records = publish(store, runners, as_of, spec, book)
+    order = [F.col(c).asc_nulls_last() for c in ("start_time", "race_id", "run_id")]
     return {
         "results": statuses,
         "ratings": merge.rating_match_stats(runners, ratings, runners),
         "summary": payload.pick_summary(picked, book, as_of.date()),
+        "shown": payload.shown_picks(picked, order, as_of.date()),
         "counts": payload.payload_counts(records, picked, book.primary),
     }
 
 
+def record_prices(store: Store, runners: DataFrame, as_of: dt.datetime) -> None:
+    """Add the prices of now to the history and drop those that are too old; without new prices, nothing."""
+    snapshot = prices.snapshot(runners, as_of).withColumn("snapshot_date", F.col("snapshot_time").cast("date"))
+    if snapshot.isEmpty():
+        return
+    store.append("prices", snapshot, ["snapshot_date"])
+    cull_prices(store, as_of)
+
+
 def judge(store: Store, runners: DataFrame, rule_book: rules.RuleBook | None = None) -> DataFrame:
     """Pick anew for all given races; picks of other races stay, those of races that no longer qualify go."""
     fresh = per_group(runners, KEY, lambda df, g: rules.picks(df, g, rule_book), probe=runners.select(*KEY))
@@ -131,9 +142,32 @@ def judge(store: Store, runners: DataFrame, rule_book: rules.RuleBook | None = N
     return store.replace("picks", tables.upsert(kept, schemas.conform(fresh, schemas.PICKS), ["race_id", "run_id", "model"]))
 
 
-def publish(store: Store, runners: DataFrame, spec: ScoreSpec | None = None) -> DataFrame:
-    """Write the nested race records, in race order; records of races not given stay as they are."""
-    records = per_group(runners, KEY, lambda df, g: payload.race_payload(df, g, spec), probe=runners.select(*KEY))
+def publish(
+    store: Store,
+    runners: DataFrame,
+    as_of: dt.datetime,
+    spec: ScoreSpec | None = None,
+    book: rules.RuleBook | None = None,
+    tie: Sequence[str] = tables.ROW_ORDER,
+    priced: DataFrame | None = None,
+) -> DataFrame:
+    """Write what is published: race records in race order, picks by race, the models, and the day's prices.
+
+    Records and picks of races not given stay as they are. Prices are the open and the latest one of the local day of
+    each runner given, or of each run in ``priced``. Returns the race records.
+    """
+    picked = store.current("picks", schemas.PICKS).join(runners.select(*KEY).distinct(), KEY, "left_semi")
+    by_race = per_group(picked, KEY, payload.picks_by_race)
+    known = store.latest("race_picks")
+    if known is not None:
+        by_race = tables.remove_evaluated(known, runners).unionByName(by_race)
+    store.replace("race_picks", by_race)
+    store.replace("models", (book or rules.default_rules()).meta(store.spark))
+    today = prices.local_date(as_of)
+    opened = prices.open_recent(store.read("prices", f"{schemas.PRICE_HISTORY}, snapshot_date DATE"), day=today)
+    priced = prices.attach_prices((runners if priced is None else priced).select("run_id").distinct(), opened, today)
+    store.replace("day_prices", priced.where(F.col("price_points").isNotNull()))
+    records = per_group(runners, KEY, lambda df, g: payload.race_payload(df, g, spec, tie), probe=runners.select(*KEY))
     earlier = store.latest("races")
     if earlier is not None:
         records = tables.remove_evaluated(earlier, runners).unionByName(records)
@@ -166,23 +200,31 @@ def refresh(
     if dry_run or not days:
         return stats
     stats = _held(stats)
-    store.overwrite_partitions("runners", merge.apply_prices(touched, updates), ["date"])
+    store.overwrite_partitions("runners", merge.apply_prices(touched, updates), "date")
     runners = store.read("runners", RUNNERS)
-    snapshot = prices.snapshot(runners, as_of).withColumn("snapshot_date", F.col("snapshot_time").cast("date"))
-    store.append("prices", snapshot, ["snapshot_date"])
+    record_prices(store, runners, as_of)
     if keep_picks:
         judge(store, runners)
     if records:
-        publish(store, runners, spec)
+        # prices of other days did not move, so their records stay
+        publish(store, runners.where(F.col("date").isin(days)), as_of, spec)
     return stats
 
 
 def cull_prices(store: Store, as_of: dt.datetime) -> DataFrame:
-    """Write the price history of the last days as a new version, ``price_history``."""
-    history = store.read("prices", f"{schemas.PRICE_HISTORY}, snapshot_date DATE")
-    first_day = F.lit((as_of - dt.timedelta(days=prices.KEEP_DAYS)).date())
-    recent = tables.retain(history.where(F.col("snapshot_date") >= first_day), "snapshot_time", as_of, prices.KEEP_DAYS)
-    return store.replace("price_history", recent, ["snapshot_date"])
+    """Drop the prices that are too old: whole days, and the older part of the first day kept. The table as it is then."""
+    ddl = f"{schemas.PRICE_HISTORY}, snapshot_date DATE"
+    history = store.read("prices", ddl)
+    limit = as_of - dt.timedelta(days=prices.KEEP_DAYS)
+    day = F.col("snapshot_date")
+    # a run is at most a few days after the one before
+    gone = [r[0] for r in history.where(day < F.lit(limit.date())).select("snapshot_date").distinct().collect()]
+    store.drop_partitions("prices", "snapshot_date", gone)
+    edge = store.read("prices", ddl).where(day == F.lit(limit.date()))
+    if not edge.where(F.col("snapshot_time") < F.lit(limit)).isEmpty():
+        recent = tables.retain(edge, "snapshot_time", as_of, prices.KEEP_DAYS)
+        store.overwrite_partitions("prices", recent, "snapshot_date", instead_of=edge)
+    return store.read("prices", ddl)
 
 
 @dataclass(frozen=True)
@@ -221,9 +263,13 @@ def provider_ingest(
         rows = rows.withColumn("ingest_seq", number)
         types = dict(rows.dtypes)
         existing = store.read(name, ", ".join(f"`{k}` {types[k]}" for k in keys), merge=True)
+        day = keys[0]
+        if day in existing.columns:
+            # tables are partitioned by day, so only the days of the range are read
+            existing = existing.where(F.col(day).between(F.lit(first), F.lit(last)))
         fresh = tables.new_rows(existing, rows, keys).withColumn("batch", number)
-        store.append(name, fresh, ["batch"])
-        written = store.read(name, f"{keys[0]} {types[keys[0]]}, batch BIGINT", merge=True)
-        added[name] = written.where(F.col("batch") == number).count()
+        store.append(name, fresh, [day])
+        written = store.read(name, f"{day} {types[day]}, batch BIGINT", merge=True)
+        added[name] = written.where(F.col(day).between(F.lit(first), F.lit(last)) & (F.col("batch") == number)).count()
     return added
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railbird.functions.scalars import half_even
-from railbird.operators import payload, race, ranks, rules, score
+from railbird.operators import payload, race, ranks, rules, score, tables
 from railbird.operators.groups import Groups
 from railbird.operators.ranks import ANCHORS, SIGNALS, Signal
 from railbird.plans.catalog import over_races, query, rounded, with_runners
@@ -425,26 +427,44 @@ def shown_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.shown_picks(picks(spark, sf_dir), order).select("model", "race_id", "run_id", "place")
 
 
+def _nested_pick_sql() -> str:
+    computed = {c: f"r_{c}" for c in rules.RANKED}
+    return ", ".join(f"{computed.get(c, c)} AS {k}" for k, c in payload.NESTED_PICK.items())
+
+
+PICK_LIST_SQL = f"""SELECT race_id, 0 AS part, model, CAST(row_number() OVER (PARTITION BY race_id, model ORDER BY run_id) - 1 AS INT) AS place,
+  {_nested_pick_sql()} FROM picks"""
+
+
+def _pick_list(nested: DataFrame) -> DataFrame:
+    """The nested pick map pick by pick, with every field of a pick."""
+    by_model = nested.select("race_id", "part", F.explode("picks").alias("model", "_list"))
+    listed = by_model.select("race_id", "part", "model", F.posexplode("_list").alias("place", "_p"))
+    return listed.select("race_id", "part", "model", "place", *[F.col("_p")[k].alias(k) for k in payload.NESTED_PICK])
+
+
+@query("picks_by_race", with_runners(FIRST_ROW_SQL, RANKED_SQL, JUDGED_SQL, PICKS_SQL, select=PICK_LIST_SQL))
+def picks_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pick_list(over_races(spark, sf_dir, lambda df, g: payload.picks_by_race(rules.picks(df, g, tie=TIE), g)))
+
+
 @query(
-    "picks_by_race",
+    "picks_of_day",
     with_runners(
         FIRST_ROW_SQL, RANKED_SQL, JUDGED_SQL, PICKS_SQL,
-        select="""SELECT race_id, model, CAST(count(*) AS INT) AS n, string_agg(run_id, ',' ORDER BY run_id) AS runs,
-          string_agg(CAST(r_rating_rank AS STRING), ',' ORDER BY run_id) AS rating_ranks FROM picks GROUP BY race_id, model""",
+        "today AS (SELECT * FROM picks WHERE date = DATE '1998-06-15')",
+        select="""SELECT model, race_id, run_id, place, CAST(n AS BIGINT) AS picks FROM (SELECT model, race_id, run_id,
+          count(*) OVER (PARTITION BY model) AS n, row_number() OVER (PARTITION BY model ORDER BY start_time, race_id, run_id) AS place
+          FROM today) WHERE place <= 15""",
     ),
 )
-def picks_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested pick map, read back model by model."""
-    nested = over_races(
-        spark, sf_dir, lambda df, g: payload.picks_by_race(rules.picks(df, g, tie=TIE), g)
-    )
-    flat = nested.select("race_id", F.explode("picks").alias("model", "p"))
-    return flat.select(
-        "race_id",
-        "model",
-        F.size("p").alias("n"),
-        F.array_join(F.transform("p", lambda e: e["run_id"]), ",").alias("runs"),
-        F.array_join(F.transform("p", lambda e: e["rating_rank"].cast("string")), ",", "").alias("rating_ranks"),
+def picks_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picks of one day as the daily report lists them, with how many there are."""
+    day, found = dt.date(1998, 6, 15), picks(spark, sf_dir)
+    order = [F.col(c).asc() for c in ("start_time", "race_id", "run_id")]
+    shown = payload.shown_picks(found, order, day)
+    return shown.join(payload.pick_summary(found, day=day).select("model", "picks"), "model").select(
+        "model", "race_id", "run_id", "place", "picks"
     )
 
 
@@ -555,44 +575,60 @@ RECORDS_SQL = (
 )
 
 
+def _runner_sql() -> str:
+    """Every field of a runner record, from the runner's row, its score and its place."""
+    text = [f"coalesce(CAST(x.{c} AS VARCHAR), '') AS {k}" for k, c in payload.TEXT_KEYS.items()]
+    wholes = [f"CAST(trunc(x.{c}) AS INT) AS {k}" for k, c in payload.WHOLE_KEYS.items()]
+    numbers = [f"{rounded('x.' + c, 3)} AS {k}" for k, c in payload.NUMBER_KEYS.items()]
+    shares = []
+    for signal in SCORE_SIGNALS:
+        paths = ", ".join(f"'{p}'" for p, w in _DEFAULT_PATHS.items() if signal in w)
+        shares.append(f"CASE WHEN sc.cs_path IN ({paths}) THEN {rounded(f'p_{signal}', 3)} END AS csg_{signal}")
+    own = ["1 AS gb_starts, CAST(x.ln = 1 AS INT) AS gb_wins, CAST(x.ln <= 3 AS INT) AS gb_places"]
+    own += ["nullif(form_string, '') AS fm", "nullif(ext_run_style, '') AS rs", "cs.cs AS cs", "crk", "cs.csc AS csc"]
+    return ", ".join([*text, *wholes, *numbers, *own, *shares])
+
+
+def _race_sql() -> str:
+    """Every field of the record itself; in this data all runners of a race say the same of it."""
+    texts = [f"coalesce({c}, '') AS {k}" for k, c in payload.RACE_TEXT.items()]
+    wholes = [f"coalesce(CAST(trunc({c}) AS INT), 0) AS {k}" for k, c in payload.RACE_WHOLE.items()]
+    return ", ".join([*texts, *wholes, *[f"CAST({c} AS DOUBLE) AS {k}" for k, c in payload.RACE_NUMBER.items()]])
+
+
+SCORE_SIGNALS = tuple(dict.fromkeys([*score.LOGISTIC_WEIGHTS, *score.LINEAR_WEIGHTS]))
+
+
 @query(
     "race_payload",
     with_runners(
         *RECORDS_SQL, *_score_sql(_DEFAULT_PATHS, False, {}),
         f"cs AS ({_score_select()})",
-        select=f"""SELECT race_id, CAST(any_value(date) AS STRING) AS date, any_value(venue) AS venue, any_value(race) AS race,
-          any_value(distance) AS distance, CAST(floor(any_value(prize_money)) AS INT) AS prize, any_value(start_time) AS start_time,
-          CASE WHEN any_value(hfs) THEN 1 ELSE 0 END AS hfs, CASE WHEN count(ext_ai_rank) = count(*) THEN 1 ELSE 0 END AS rated,
-          CAST(count(*) AS INT) AS fs, CASE WHEN count(*) FILTER (WHERE resulted = 1) = count(*) THEN 1 ELSE 0 END AS done,
-          any_value(cs_path) AS cs_path, string_agg(run_id, ',' ORDER BY pos) AS run_ids,
-          string_agg(CAST(crk AS STRING), ',' ORDER BY pos) AS ranks, {rounded('sum(cs)', 3)} AS score_sum,
-          {rounded('sum(' + rounded('fixed_win_price', 3) + ')', 2)} AS price_sum,
-          CAST(sum(CASE WHEN ln = 1 THEN 1 ELSE 0 END) AS INT) AS wins, CAST(sum(coalesce(won, 0)) AS INT) AS won
-          FROM rows JOIN cs USING (race_id, run_id) JOIN hfs USING (race_id) GROUP BY race_id""",
+        """whole AS (SELECT race_id, CAST(count(*) AS INT) AS fs, CAST(count(ext_ai_rank) = count(*) AS INT) AS rated,
+          CAST(count(*) FILTER (WHERE resulted = 1) = count(*) AS INT) AS done FROM runners GROUP BY race_id)""",
+        select=f"""SELECT race_id, 0 AS part, pos - 1 AS place, CAST(date AS STRING) AS date, {_race_sql()},
+          CAST(hfs AS INT) AS hfs, rated, whole.fs AS fs, done, cs.cs_path AS cs_path, {_runner_sql()}
+          FROM rows x JOIN cs USING (race_id, run_id) JOIN scored sc USING (race_id, run_id) JOIN hfs USING (race_id)
+          JOIN whole USING (race_id)""",
     ),
 )
 def race_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested race records, flattened to texts and sums of what they hold."""
+    """The nested race records, runner by runner with every field of the record and of the runner."""
+    listed = _records(spark, sf_dir).select("*", F.posexplode("runners").alias("place", "r"))
+    keys = [*payload.TEXT_KEYS, *payload.WHOLE_KEYS, *payload.NUMBER_KEYS, "fm", "rs", "cs", "crk", "csc"]
+    return listed.select(
+        "race_id", "part", "place", "date", *payload.RACE_TEXT, *payload.RACE_WHOLE, *payload.RACE_NUMBER, "hfs", "rated",
+        "fs", "done", "cs_path", *[F.col("r")[k].alias(k) for k in keys],
+        *[F.col("r")["gb"]["good"][k].alias(f"gb_{k}") for k in ("starts", "wins", "places")],
+        *[F.col("r")["csg"][s].alias(f"csg_{s}") for s in SCORE_SIGNALS],
+    )
+
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(df: DataFrame, g: Groups) -> DataFrame:
         return payload.race_payload(race.first_starter(_with_nested(df), g), g, tie=TIE)
 
-    records = over_races(spark, sf_dir, work)
-
-    def added(field: str) -> F.Column:
-        return F.aggregate(
-            "runners", F.lit(0.0), lambda a, r: a + F.coalesce(r[field].cast("double"), F.lit(0.0))
-        )
-
-    def listed(field: str) -> F.Column:
-        return F.array_join(F.transform("runners", lambda r: r[field].cast("string")), ",")
-
-    wins = F.aggregate("runners", F.lit(0), lambda a, r: a + r["gb"]["good"]["wins"])
-    return records.select(
-        "race_id", "date", "venue", "race", "distance", "prize", "start_time", "hfs", "rated", "fs", "done", "cs_path",
-        listed("rid").alias("run_ids"), listed("crk").alias("ranks"), half_even(added("cs"), 3).alias("score_sum"),
-        half_even(added("fx"), 2).alias("price_sum"), wins.alias("wins"), added("won").cast("int").alias("won"),
-    )
+    return over_races(spark, sf_dir, work)
 
 
 @query(
@@ -605,12 +641,7 @@ def race_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = over_races(
-        spark,
-        sf_dir,
-        lambda df, g: payload.race_payload(race.first_starter(_with_nested(df), g), g, tie=TIE),
-    )
-    return payload.payload_counts(records, picks(spark, sf_dir))
+    return payload.payload_counts(_records(spark, sf_dir), picks(spark, sf_dir))
 
 
 @query(
@@ -641,13 +672,35 @@ def ordered_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.in_race_order(placed).drop("part")
 
 
+BRIEF_KEYS = tuple(k for k in race.RUNNER_BRIEF if k not in ("rnk", "fsz"))
+
+
+def _brief_sql() -> str:
+    """Every field of a runner in a selection's list."""
+    own = {"settling": "s.settling", "pace_scenario": TEMPO_SQL.format(q="pace.q")}
+    plain = [f"{own.get(race.RUNNER_BRIEF[k], 'x.' + race.RUNNER_BRIEF[k])} AS u_{k}" for k in BRIEF_KEYS]
+    anchors = [
+        f"{_ordinal_sql(v.column, 'DESC' if v.descending else 'ASC')} AS u_rnk_{k}, "
+        f"CAST(nullif(count({v.column}) OVER (PARTITION BY race_id), 0) AS INT) AS u_fsz_{k}"
+        for k, v in ANCHOR_SIGNALS.items()
+    ]
+    return ", ".join([*plain, *anchors])
+
+
+LISTED_SQL = (
+    f"listed AS (SELECT race_id, row_number() OVER (PARTITION BY race_id ORDER BY ln, pk, sk) - 1 AS place, {_brief_sql()} FROM runners x "
+    "JOIN (SELECT race_id, run_id, settling FROM settled) s USING (race_id, run_id) JOIN (SELECT race_id, q FROM pace) pace USING (race_id))"
+)
+
+
 @query(
     "selections",
     with_runners(
         LONG_SQL, PLACED_SQL, VOTES_SQL, TOP_SQL, RANKINGS_SQL, SETTLING_SQL, PACE_SQL,
         "hfs AS (SELECT race_id, bool_or(runs_with_wpr = 0) AS has_first_starter FROM runners GROUP BY race_id)",
         """paces AS (SELECT race_id, count(*) FILTER (WHERE CASE WHEN avg_800m_pos IS NOT NULL THEN avg_800m_pos <= 3
-             ELSE settling IN ('leader', 'on-pace') END) AS k, count(*) AS runners_listed FROM settled GROUP BY race_id)""",
+             ELSE settling IN ('leader', 'on-pace') END) AS k FROM settled GROUP BY race_id)""",
+        LISTED_SQL,
         select=f"""SELECT t.race_id, t.run_id, votes, total_signals, horse, {rounded('coalesce(starting_price_sp, fixed_win_price)', 4)} AS sp,
           wpr_nett, CASE WHEN speed_rating IS NOT NULL THEN sr END AS speed_rank_in_race,
           speed_rating IS NOT NULL AND sr <= 2 AS is_on_pace,
@@ -655,27 +708,44 @@ def ordered_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
           settling, CASE WHEN settling = 'backmarker' THEN CASE WHEN q >= 4 THEN 'caution' WHEN q IS NOT NULL THEN 'watch' ELSE 'unknown' END END AS backmarker_flag,
           coalesce(contested_pace, s1 - s3 < 5) AS contested_pace, has_first_starter,
           {rounded("CASE WHEN resulted = 1 THEN CASE WHEN won = 1 THEN coalesce(starting_price_sp, fixed_win_price) ELSE 0 END END", 4)} AS returned,
-          coalesce(resulted, 0) AS resulted, pos AS top_idx, {TEMPO_SQL.format(q='k')} AS race_pace_score, sig_rankings,
-          CAST(runners_listed AS INT) AS runners_listed
+          coalesce(resulted, 0) AS resulted, pos AS top_idx, {TEMPO_SQL.format(q='k')} AS race_pace_score, sig_rankings, listed.* EXCLUDE (race_id)
           FROM top t JOIN settled s USING (race_id, run_id) JOIN positions USING (race_id, run_id) JOIN rankings USING (race_id)
-          JOIN hfs USING (race_id) JOIN pace USING (race_id) JOIN paces USING (race_id)""",
+          JOIN hfs USING (race_id) JOIN pace USING (race_id) JOIN paces USING (race_id)
+          JOIN listed USING (race_id)""",
     ),
 )
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One selection per race in context, with the nested parts as text and counts."""
+    """One selection per race in context, beside each runner of its list with all the runner's fields."""
 
     def work(df: DataFrame, g: Groups) -> DataFrame:
         df = race.pace(race.speed_rank(df, g), g, tie=TIE)
         return race.selections(df, g, tie=TIE)
 
-    return over_races(spark, sf_dir, work).select(
+    listed = over_races(spark, sf_dir, work).select("*", F.posexplode("u_list").alias("place", "_u"))
+    return listed.select(
         "race_id", "run_id", "votes", "total_signals", "horse", half_even("sp", 4).alias("sp"), "wpr_nett",
         "speed_rank_in_race", "is_on_pace", "barrier_pos", "settling", "backmarker_flag", "contested_pace",
         "has_first_starter", half_even("returned", 4).alias("returned"), "resulted", "top_idx", "race_pace_score",
-        _rankings_text("sig_rankings").alias("sig_rankings"), F.size("u_list").alias("runners_listed"),
+        _rankings_text("sig_rankings").alias("sig_rankings"), "place",
+        *[F.col("_u")[k].alias(f"u_{k}") for k in BRIEF_KEYS],
+        *[F.col("_u")[g][k].alias(f"u_{g}_{k}") for k in ANCHORS for g in ("rnk", "fsz")],
     )
 
 
+def _compact_sql() -> str:
+    """Every field of a runner in a compact record."""
+    own = {"pace_scenario": TEMPO_SQL.format(q="q"), "settling": "settling"}
+    out = []
+    for key, column in payload.COMPACT_RUNNER.items():
+        if key in ("h", "j", "st", "ps"):
+            out.append(f"{own.get(column, column)} AS u_{key}")
+        elif key in ("f", "b"):
+            out.append(f"CAST(trunc({column}) AS INT) AS u_{key}")
+        else:
+            out.append(f"{rounded(column, 3)} AS u_{key}")
+    return ", ".join(out)
+
+
 @query(
     "compact_races",
     with_runners(
@@ -690,35 +760,36 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sslots AS (SELECT race_id, sig FROM (SELECT DISTINCT race_id FROM done), (SELECT unnest(range(12)) AS sig))",
         "sranks AS (SELECT race_id, string_agg(array_to_string(list_resize(coalesce(l, []), 5, -1), ','), '|' ORDER BY sig) AS s "
         "FROM sslots LEFT JOIN slists USING (race_id, sig) GROUP BY race_id)",
-        select="""SELECT race_id AS rid, CAST(any_value(date) AS STRING) AS d, any_value(venue) AS v, any_value(race) AS r,
-          CAST(floor(any_value(prize_money)) AS INT) AS p, any_value(s) AS s, CAST(count(*) AS INT) AS fs,
-          string_agg(horse, ',' ORDER BY pos) AS horses, string_agg(coalesce(CAST(finish_position AS STRING), '-'), ',' ORDER BY pos) AS finishes
-          FROM done JOIN sranks USING (race_id) GROUP BY race_id""",
+        SETTLING_SQL, PACE_SQL,
+        select=f"""SELECT race_id AS rid, CAST(date AS STRING) AS d, venue AS v, race AS r, CAST(trunc(prize_money) AS INT) AS p, s,
+          CAST(count(*) OVER (PARTITION BY race_id) AS INT) AS fs, distance AS dist, nullif(going, '') AS going, {TEMPO_SQL.format(q='q')} AS ps,
+          CAST(pos AS INT) AS place, {_compact_sql()}
+          FROM done JOIN sranks USING (race_id) JOIN (SELECT race_id, run_id, settling FROM settled) USING (race_id, run_id)
+          JOIN (SELECT race_id, q FROM pace) USING (race_id)""",
     ),
 )
 def compact_races(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resulted races as compact records, read back as text."""
+    """Resulted races as compact records, beside each runner with all its fields."""
 
     def work(df: DataFrame, g: Groups) -> DataFrame:
         df = race.settling(race.pace(race.speed_rank(df, g), g, tie=TIE), g)
         return payload.compact_races(df, g, tie=TIE)
 
-    return over_races(spark, sf_dir, work).select(
-        "rid",
-        "d",
-        "v",
-        "r",
-        "p",
-        _rankings_text("s").alias("s"),
-        "fs",
-        F.array_join(F.transform("u", lambda e: e["h"]), ",").alias("horses"),
-        F.array_join(F.transform("u", lambda e: e["f"].cast("string")), ",", "-").alias("finishes"),
-    )
+    listed = over_races(spark, sf_dir, work).select("*", F.posexplode("u").alias("place", "_u"))
+    return listed.select(
+        "rid", "d", "v", "r", "p", _rankings_text("s").alias("s"), "fs", "dist", "going", "ps", "place",
+        *[F.col("_u")[k].alias(f"u_{k}") for k in payload.COMPACT_RUNNER],
+    )
 
 
 @query(
     "ingest_counts",
-    with_runners(select="SELECT count(*) AS runners, count(DISTINCT race_id) AS races FROM runners WHERE resulted = 0"),
+    with_runners(
+        select="""SELECT count(*) AS runners, count(DISTINCT race_id) AS races FROM (SELECT DISTINCT race_id, run_id FROM runners r
+          WHERE NOT EXISTS (SELECT 1 FROM runners e WHERE e.resulted = 1 AND e.race_id = r.race_id AND e.run_id = r.run_id))"""
+    ),
 )
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload.ingest_counts(runners(spark, sf_dir).where("resulted = 0"))
+    """What is added to a table that holds the resulted runners when all runners come in."""
+    incoming = runners(spark, sf_dir)
+    return payload.ingest_counts(tables.new_rows(incoming.where("resulted = 1"), incoming, ["race_id", "run_id"], TIE))

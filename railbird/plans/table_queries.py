@@ -139,11 +139,11 @@ def conform_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# A second provider's rating per line that was not returned, under padded names in capitals.
+# A second provider's rating per line, under padded names in capitals; those of returned lines are of another horse.
 RATING = {
     "ext_date": "CAST(o_orderdate AS DATE)",
     "raceNo": "CAST(o_custkey % 12 + 1 AS INT)",
-    "runnerName": "concat(' ', upper(p_name), '  ')",
+    "runnerName": "concat(' ', upper(p_name), CASE WHEN l_returnflag = 'R' OR l_tax <= 0.02 THEN ' II' ELSE '  ' END)",
     "aiRank": "CAST(l_suppkey % 9 AS INT)",
     "aiPrice": "l_extendedprice / 100",
     "aiScore": "l_quantity",
@@ -157,14 +157,14 @@ RATING = {
     "pk": "l_partkey",
     "sk": "l_suppkey",
 }
-RATINGS_SQL = f"ratings AS (SELECT {star.sql_columns(RATING)} FROM {star.RUNNER_FROM} WHERE l_returnflag <> 'R' AND l_tax > 0.02)"
+RATINGS_SQL = f"ratings AS (SELECT {star.sql_columns(RATING)} FROM {star.RUNNER_FROM})"
 RATING_ORDER = ("ok", "ln", "pk", "sk")
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders, parts = (star.table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("p_partkey") == F.col("l_partkey"))
-    return joined.where("l_returnflag <> 'R' AND l_tax > 0.02").select(*star.columns(RATING))
+    return joined.select(*star.columns(RATING))
 
 
 _KEYED = "lower(trim(runnerName)) AS horse_key, ext_date, raceNo"
@@ -291,24 +291,27 @@ def upcoming_races(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UPDATES_SQL = (
-    "updates AS (SELECT run_id, fixed_win_price AS price FROM (SELECT *, row_number() OVER (PARTITION BY run_id "
+    "updates AS (SELECT CASE WHEN CAST(run_id AS INT) % 7 = 0 THEN concat('x', run_id) ELSE run_id END AS run_id, fixed_win_price AS price "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY run_id "
     "ORDER BY snapshot_time DESC, event_id DESC) AS n FROM prices WHERE fixed_win_price > 1) WHERE n = 1)"
 )
 QUOTED_SQL = (
     "quoted AS (SELECT CAST(c_custkey AS STRING) AS run_id, CASE WHEN c_custkey % 5 = 0 THEN NULL "
     "WHEN c_custkey % 3 = 0 THEN coalesce(price, 2) + 0.0005 ELSE c_acctbal / 100 END AS fixed_win_price "
-    "FROM customer LEFT JOIN updates ON run_id = CAST(c_custkey AS STRING) WHERE c_custkey % 7 <> 0)"
+    "FROM customer LEFT JOIN updates ON run_id = CAST(c_custkey AS STRING))"
 )
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = events(spark, sf_dir).where("fixed_win_price > 1")
     last = tables.keep_last(usable, ["run_id"], ["snapshot_time", "ingest_seq"])
-    return last.select("run_id", F.col("fixed_win_price").alias("price"))
+    # every seventh is of a run that no table knows
+    run = F.expr("CASE WHEN CAST(run_id AS INT) % 7 = 0 THEN concat('x', run_id) ELSE run_id END")
+    return last.select(run.alias("run_id"), F.col("fixed_win_price").alias("price"))
 
 
 def _quoted(spark: SparkSession, sf_dir: str, updates: DataFrame) -> DataFrame:
-    customers = star.table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
+    customers = star.table(spark, sf_dir, "customer")
     keyed = customers.select(F.col("c_custkey").cast("string").alias("run_id"), "c_custkey", "c_acctbal")
     return keyed.join(updates, "run_id", "left").select(
         "run_id",
@@ -361,9 +364,25 @@ def price_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("run_id", "race_id", "fixed_win_price")
 
 
+# some prices are missing, zero or no number
+MESSY = "CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 0 WHEN event_id % 23 = 0 THEN {nan} ELSE value END"
+
+
+def messy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.expr(MESSY.format(nan="double('NaN')"))
+    raw = star.table(spark, sf_dir, "events").withColumn("value", price)
+    return raw.select(
+        F.col("user_id").cast("string").alias("run_id"),
+        F.col("ts").cast("timestamp").alias("snapshot_time"),
+        F.col("value").alias("fixed_win_price"),
+    )
+
+
 # the data lies in January, when Melbourne is eleven hours ahead
-OPEN_SQL = """
-  days AS (SELECT *, CAST(snapshot_time + INTERVAL 11 HOUR AS DATE) AS local_date FROM prices),
+OPEN_SQL = f"""
+  messy AS (SELECT CAST(user_id AS STRING) AS run_id, ts AS snapshot_time, {MESSY.format(nan="'NaN'::DOUBLE")} AS fixed_win_price FROM events),
+  days AS (SELECT *, CAST(snapshot_time + INTERVAL 11 HOUR AS DATE) AS local_date FROM messy
+      WHERE fixed_win_price > 0 AND NOT isnan(fixed_win_price) AND snapshot_time IS NOT NULL),
   opened AS (SELECT run_id, local_date, arg_min(fixed_win_price, snapshot_time) AS open_price, epoch_us(min(snapshot_time)) AS open_us,
       arg_max(fixed_win_price, snapshot_time) AS recent_price, epoch_us(max(snapshot_time)) AS recent_us, count(*) AS n
       FROM days GROUP BY run_id, local_date)"""
@@ -378,13 +397,13 @@ def days_flat(df: DataFrame) -> DataFrame:
 
 @query("price_open_recent", f"WITH {EVENTS_SQL}, {OPEN_SQL} SELECT * FROM opened")
 def price_open_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return days_flat(prices.open_recent(events(spark, sf_dir)))
+    return days_flat(prices.open_recent(messy_events(spark, sf_dir)))
 
 
 @query("price_days_from_hours", f"WITH {EVENTS_SQL}, {OPEN_SQL} SELECT * FROM opened")
 def price_days_from_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by way of hourly partial sums, as the stream keeps them."""
-    return days_flat(prices.days_from_hours(prices.hourly(events(spark, sf_dir))))
+    return days_flat(prices.days_from_hours(prices.hourly(messy_events(spark, sf_dir))))
 
 
 @query(
@@ -395,6 +414,6 @@ def price_days_from_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One day's open and latest price beside every runner."""
     runners = star.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("run_id"))
-    opened = prices.open_recent(events(spark, sf_dir))
+    opened = prices.open_recent(messy_events(spark, sf_dir))
     out = prices.attach_prices(runners, opened, dt.date(2024, 1, 16))
     return out.select("run_id", "open_price", "recent_price", "price_points")

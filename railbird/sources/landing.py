@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railbird.functions.scalars import null_if_nan
+from railbird.operators.prices import usable_prices
 from railbird.operators.tables import keep_last
 from railbird.sources import schemas
 from railbird.sources.schemas import PRICE_HISTORY, RATING_ITEM, RUNNERS, SECTIONAL_KEYS, conform, empty, struct_type
@@ -33,7 +34,7 @@ def read_feed(
     """A JSON feed, one document or (``lines``) one record per line.
 
     ``names`` maps our field names to the feed's where those differ. A cast by position gives the
-    columns and nested fields our names again.
+    columns and nested fields our names again. ``landed`` orders the files of a feed by the time they came.
     """
     ours = struct_type(ddl)
     theirs = _renamed(ours, names or {})
@@ -41,6 +42,7 @@ def read_feed(
     return raw.select(
         *[F.col(f"`{t.name}`").cast(o.dataType).alias(o.name) for t, o in zip(theirs, ours, strict=True)],
         F.col("_metadata.file_path").alias("_file"),
+        F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("landed"),
     )
 
 
@@ -80,7 +82,12 @@ def file_meeting(path: Column) -> Column:
 
 def read_meetings(spark: SparkSession, path: str) -> DataFrame:
     """Meeting lists, one file per day; the day is in the file's name."""
-    return read_feed(spark, path, schemas.MEETINGS).withColumn("date", file_date(F.col("_file"))).drop("_file")
+    return read_feed(spark, path, schemas.MEETINGS).withColumn("date", file_date(F.col("_file"))).drop("_file", "landed")
+
+
+def read_fields(spark: SparkSession, path: str, names: Mapping[str, str] | None = None) -> DataFrame:
+    """Fields of meetings; where a file's name has a day, the fields are of that day."""
+    return read_feed(spark, path, schemas.FIELDS, names).withColumn("date", file_date(F.col("_file"))).drop("_file", "landed")
 
 
 def split_shapes(df: DataFrame, text: str, item_ddl: str, feed_ddl: str | None = None) -> DataFrame:
@@ -99,25 +106,27 @@ def split_shapes(df: DataFrame, text: str, item_ddl: str, feed_ddl: str | None =
         # each entry stays text at first, so that one stray entry does not spoil its list
         return F.from_json(documents, "array<string>")
 
-    flat = (
-        df.where(body.startswith("["))
-        .select(*others, F.posexplode(entries(F.col(text))).alias("row_pos", "_item"))
-        .withColumns({"ext_race_id": F.lit(None).cast("string"), "ext_race_number": F.lit(None).cast("int")})
-    )
     shape = "struct<races:array<struct<raceId:string,number:int,runners:string>>>"
-    nested = (
-        df.where(body.startswith("{"))
-        .select(*others, F.posexplode(F.from_json(F.col(text), shape)["races"]).alias("_race", "_r"))
-        .select(*others, "_race", "_r", F.posexplode(entries(F.col("_r.runners"))).alias("_pos", "_item"))
-        .select(
-            *others,
-            (F.col("_race") * 1000 + F.col("_pos")).alias("row_pos"),
-            "_item",
-            F.col("_r.raceId").alias("ext_race_id"),
-            F.col("_r.number").alias("ext_race_number"),
-        )
+    race = "struct<id:string,number:int,item:string>"
+
+    def listed(texts: Column, race_id: Column, number: Column) -> Column:
+        entry = lambda x: F.struct(race_id.alias("id"), number.alias("number"), x.alias("item"))
+        return F.coalesce(F.transform(entries(texts), entry), F.array().cast(f"array<{race}>"))
+
+    none = F.lit(None).cast("string"), F.lit(None).cast("int")
+    races = F.from_json(F.col(text), shape)["races"]
+    items = F.when(body.startswith("["), listed(F.col(text), *none)).when(
+        body.startswith("{"), F.flatten(F.transform(races, lambda r: listed(r["runners"], r["raceId"], r["number"])))
+    )
+    # places count through all races of a document, so no two items share one
+    rows = df.select(*others, F.posexplode(items).alias("row_pos", "_e")).select(
+        *others,
+        "row_pos",
+        F.col("_e.item").alias("_item"),
+        F.col("_e.id").alias("ext_race_id"),
+        F.col("_e.number").alias("ext_race_number"),
     )
-    items = flat.unionByName(nested).where(F.ltrim("_item").startswith("{"))
+    items = rows.where(F.ltrim("_item").startswith("{"))
     parsed = items.withColumn("_i", F.from_json("_item", item).cast(ours))
     return parsed.select(*others, "_i.*", "ext_race_id", "ext_race_number", "row_pos")
 
@@ -129,7 +138,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ratings(spark: SparkSession, path: str, names: Mapping[str, str] | None = None) -> DataFrame:
     """Meeting ratings, one file per day and meeting, in either shape."""
-    docs = read_documents(spark, path).withColumn("ext_meeting_id", file_meeting(F.col("_file"))).drop("_file")
+    docs = read_documents(spark, path)
+    docs = docs.withColumns({"ext_date": file_date(F.col("_file")), "ext_meeting_id": file_meeting(F.col("_file"))}).drop("_file")
     theirs = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _renamed(struct_type(RATING_ITEM), names or {}))
     return split_shapes(docs, "value", RATING_ITEM, theirs)
 
@@ -171,6 +181,20 @@ def _csv_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _file_order(raw: DataFrame) -> Column:
+    """A number that grows along a file and from file to file, in the order of their names.
+
+    Spark packs pieces of files by size, so the number of a row within its task is no order across files. The rows of a
+    task are fewer than its bytes, so they do not reach the number at which the next piece of a file begins.
+    """
+    # Spark writes a local file's scheme with one slash here and with three there
+    local = "^file:/+"
+    files = F.array(*[F.lit(re.sub(local, "", f)) for f in sorted(raw.inputFiles())]).cast("array<string>")
+    file = F.regexp_replace("_metadata.file_path", local, "")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.array_position(files, file) * F.lit(1 << 44) + F.col("_metadata.file_block_start") + row
+
+
 def load_runners(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
     """The runner table: every known column present, one row per run (the last), empty if absent.
 
@@ -180,7 +204,7 @@ def load_runners(spark: SparkSession, path: str, csv: bool = False) -> DataFrame
     if raw is None:
         return empty(spark, RUNNERS + ", ingest_seq BIGINT, row_pos INT")
     if "ingest_seq" not in raw.columns:
-        raw = raw.withColumn("ingest_seq", F.monotonically_increasing_id())
+        raw = raw.withColumn("ingest_seq", _file_order(raw))
     if "row_pos" not in raw.columns:
         raw = raw.withColumn("row_pos", F.lit(0))
     fitted = conform(raw, RUNNERS).withColumns(
@@ -195,7 +219,7 @@ def load_ratings(spark: SparkSession, path: str, csv: bool = False) -> DataFrame
     if raw is None:
         return empty(spark, schemas.RATINGS + ", ingest_seq BIGINT, row_pos INT")
     if "ingest_seq" not in raw.columns:
-        raw = raw.withColumn("ingest_seq", F.monotonically_increasing_id())
+        raw = raw.withColumn("ingest_seq", _file_order(raw))
     if "row_pos" not in raw.columns:
         raw = raw.withColumn("row_pos", F.lit(0))
     return conform(raw, schemas.RATINGS)
@@ -209,7 +233,3 @@ def load_prices(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
     if dict(raw.dtypes)["snapshot_time"] == "string":
         raw = raw.withColumn("snapshot_time", F.try_to_timestamp("snapshot_time"))
     return usable_prices(conform(raw, PRICE_HISTORY))
-
-
-def usable_prices(df: DataFrame, price: str = "fixed_win_price", time: str = "snapshot_time") -> DataFrame:
-    return df.where((null_if_nan(price) > 0) & F.col(time).isNotNull())

@@ -81,7 +81,7 @@ def to_current(
         touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]
         old = table.read(name, CURRENT).where(F.col("bucket").isin(touched))
         merged = keep_last(old.unionByName(newest), ["bucket", "run_id"], ["snapshot_time", "fixed_win_price"])
-        table.overwrite_partitions(name, merged, ["bucket"])
+        table.overwrite_partitions(name, merged, "bucket")
 
     return _start(usable(updates), checkpoint, foreach=apply)
 
@@ -112,10 +112,11 @@ def to_hours(
     def apply(batch: DataFrame) -> None:
         table = Store(batch.sparkSession, store.root)
         fresh = batch.withColumn("day", F.col("hour").cast("date"))
-        first, last = fresh.agg(F.min("day"), F.max("day")).first()
-        old = table.read(name, HOURS).where(F.col("day").between(F.lit(first), F.lit(last)))
+        # the days themselves and not all between them: one wrong clock must not rewrite the table
+        days = [r["day"] for r in fresh.select("day").distinct().collect()]
+        old = table.read(name, HOURS).where(F.col("day").isin(days))
         kept = attach(old, fresh.select("run_id", "hour"), ["run_id", "hour"], "left_anti")
-        table.overwrite_partitions(name, kept.unionByName(fresh), ["day"])
+        table.overwrite_partitions(name, kept.unionByName(fresh), "day")
 
     return _start(hours, checkpoint, mode="update", foreach=apply)
 
