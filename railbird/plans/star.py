@@ -163,13 +163,14 @@ def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runners_of(spark: SparkSession, sf_dir: str, some: DataFrame) -> DataFrame:
-    """Lines with their order's and part's columns, each worked out on its own side of the join."""
-    entered = some.select("l_orderkey", "l_partkey", *columns(OF_LINE))
+    """Lines with their order's and part's columns, each worked out on its own side of the join.
+
+    Orders come last and by the race's own key, so that what ranks within races finds them together already.
+    """
+    entered = some.select(*columns(OF_LINE))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", *columns(OF_ORDER))
     parts = table(spark, sf_dir, "part").select("p_partkey", *columns(OF_PART))
-    joined = entered.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(
-        parts, F.col("p_partkey") == F.col("l_partkey")
-    )
+    joined = entered.join(parts, F.col("p_partkey") == F.col("pk")).join(orders, F.col("o_orderkey") == F.col("race_id"))
     return joined.select(*RUNNER)
 
 

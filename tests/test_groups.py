@@ -7,7 +7,7 @@ from conftest import rows
 from railbird.operators import payload, race, ranks, rules, score
 from railbird.operators.groups import InTask, Spread, oversized, per_group
 from railbird.operators.ranks import ANCHORS, SIGNALS, Signal
-from railbird.plans import star
+from railbird.plans import race_queries, star
 from railbird.plans.race_queries import SCORE_COLUMNS
 from railbird.plans.star import TIE
 
@@ -132,8 +132,32 @@ def test_records_of_a_big_race_come_in_parts(values):
         return per_group(picked, ["race_id"], work, max_rows=max_rows).collect()
 
     whole, parts = nested(10_000), nested(200)
-    assert [r["part"] for r in whole if r["race_id"] == "hot"] == [0]
+    assert sorted(r["part"] for r in whole if r["race_id"] == "hot") == [0, 1, 2]
     assert sorted(r["part"] for r in parts if r["race_id"] == "hot") == [0, 1, 2]
     runs = lambda found: sorted(p["run_id"] for r in found if r["race_id"] == "hot" for p in r["picks"]["main"])
     assert runs(whole) == runs(parts) and len(runs(parts)) == 300
     assert all(len(r["picks"]["main"]) <= 100 for r in parts)
+
+
+@pytest.mark.parametrize("max_rows", [1, 3])
+@pytest.mark.parametrize("name", ["race_payload", "picks_by_race", "selections", "compact_races"])
+def test_records_have_one_shape_at_every_size(spark, runners, monkeypatch, name, max_rows):
+    """A record is cut by its own limit, never by the size from which a race is treated apart."""
+    nested = race_queries._with_nested(runners)
+    some = nested.where(F.col("race_id") < 40)
+    works = {
+        "race_payload": lambda df, g: payload.race_payload(race.first_starter(df, g), g, tie=TIE, max_runners=4),
+        "picks_by_race": lambda df, g: payload.picks_by_race(rules.picks(df, g, tie=TIE), g, max_picks=2),
+        "selections": lambda df, g: race.selections(race.pace(race.speed_rank(df, g), g, tie=TIE), g, tie=TIE, max_runners=4),
+        "compact_races": lambda df, g: payload.compact_races(
+            race.settling(race.pace(race.speed_rank(df, g), g, tie=TIE), g), g, tie=TIE, max_runners=4
+        ),
+    }
+
+    def text(df):
+        return sorted(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect())
+
+    # one race of many runners, and small ones
+    plain = text(per_group(some, ["race_id"], works[name]))
+    assert text(per_group(some, ["race_id"], works[name], max_rows=max_rows)) == plain
+    assert any('"part":1' in line for line in plain) or name == "picks_by_race"

@@ -142,6 +142,98 @@ def test_culled_history(played):
     assert played["history"].count() == 0
 
 
+def test_all_is_published(played):
+    store = played["store"]
+    picked = {(r["race_id"], m): [p["run_id"] for p in ps] for r in store.latest("race_picks").collect() for m, ps in r["picks"].items()}
+    assert picked == {("1", "loose"): ["11"], ("1", "main"): ["11"]} or picked == {}
+    assert sorted(r["model"] for r in store.latest("models").collect()) == ["loose", "main"]
+    assert [(r["run_id"], r["open_price"], r["recent_price"]) for r in store.latest("day_prices").collect()] == [("11", 4.5, 4.0)]
+    assert [(r["model"], r["run_id"], r["place"]) for r in played["first"]["shown"]] == [("loose", "11", 1), ("main", "11", 1)]
+
+
+def test_emptied_partitions_are_gone(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    day = lambda d: F.lit(d).cast("date").alias("date")
+    first = spark.range(3).select("id", day("2024-05-01")).union(spark.range(3, 5).select("id", day("2024-05-02")))
+    first = first.union(spark.range(9, 10).select("id", day(None)))
+    table = store.overwrite_partitions("t", first, "date")
+    moved = table.where("id < 3").withColumn("date", F.lit("2024-05-02").cast("date"))
+    store.overwrite_partitions("t", moved, "date", instead_of=table.where("id <> 9"))
+    got = rows(store.read("t").select("id", F.col("date").cast("string")))
+    assert got == [(0, "2024-05-02"), (1, "2024-05-02"), (2, "2024-05-02"), (9, None)]
+    store.overwrite_partitions("t", store.read("t").where("id < 0"), "date", instead_of=store.read("t"))
+    assert store.read("t", "id BIGINT, date DATE").count() == 0
+
+
+def test_a_run_that_moves_to_another_day_is_there_once(spark, tmp_path):
+    """The day read again has no such race any more; it lies on the day after."""
+    store, names = Store(spark, str(tmp_path / "tables")), {"rating": "theirRating"}
+    land_day(tmp_path / "one")
+    jobs.daily(store, jobs.Feeds.read(spark, str(tmp_path / "one"), names), NOW)
+    land_day(tmp_path / "two")
+    land(tmp_path / "two", "calendar", {"date": DAY, "meetings": []}, {"date": "2024-05-02", "meetings": [
+        {"venue": "Park", "going": "Good 4", "races": [{"raceId": 1, "number": 5, "prizeMoney": 30000.0}]}]})
+    feeds = jobs.Feeds.read(spark, str(tmp_path / "two"), names)
+    jobs.daily(store, feeds, NOW, last=dt.date(2024, 5, 2), again=True)
+    assert rows(store.read("runners").select("run_id", F.col("date").cast("string"))) == [("11", "2024-05-02"), ("12", "2024-05-02")]
+
+
+def test_retention_drops_old_prices(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    old = [("a", "r", f"2024-04-{d} {t}", 2.0) for d in ("20", "24") for t in ("01:00:00", "03:00:00")]
+    history = points(spark, *old).withColumn("snapshot_date", F.col("snapshot_time").cast("date"))
+    store.append("prices", history, ["snapshot_date"])
+    now = spark.createDataFrame([("b", "r", 3.0, 0), ("c", "r", 0.5, 0)], "run_id string, race_id string, fixed_win_price double, resulted int")
+    jobs.record_prices(store, now.where("fixed_win_price < 1"), NOW)
+    assert store.read("prices").count() == 4
+    jobs.record_prices(store, now, NOW)
+    got = rows(store.read("prices").select("run_id", F.date_format("snapshot_time", "dd HH")))
+    assert got == [("a", "24 03"), ("b", "01 02")]
+
+
+def test_newest_landing_counts(spark, tmp_path):
+    import os
+
+    for name, price, runners in (("a", "2.0", [11, 12]), ("b", "3.0", [11])):
+        land(tmp_path, "detail", {"raceId": 1, "runners": [{"runId": r, "fixedWinPrice": price} for r in runners]}, name=f"{name}.json")
+        os.utime(tmp_path / "detail" / f"{name}.json", (1_000_000_000 + ord(name),) * 2)
+    from railbird.operators import flatten
+
+    detail = landing.read_feed(spark, str(tmp_path / "detail"), schemas.DETAIL)
+    assert rows(flatten.live_prices(detail)) == [("11", 3.0)]
+    assert flatten.detail_runners(detail).count() == 1
+
+
+def test_unusable_prices_do_not_count(spark):
+    given = [("a", "r", "2024-04-06 12:00:00", 0.0), ("a", "r", "2024-04-06 12:01:00", 5.0), ("a", "r", "2024-04-06 12:02:00", None),
+             ("a", "r", "2024-04-06 12:03:00", float("nan"))]
+    got = prices.open_recent(points(spark, *given)).collect()
+    assert [(r["open_price"], r["recent_price"], r["n"]) for r in got] == [(5.0, 5.0, 1)]
+    assert [(r["open_price"], r["recent_price"], r["n"]) for r in prices.hourly(points(spark, *given)).collect()] == [(5.0, 5.0, 1)]
+
+
+def test_the_last_row_of_the_last_file_counts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("run_id,race_id,barrier\n" + "1,1,3\n")
+    (tmp_path / "b.csv").write_text("run_id,race_id,barrier\n" + "".join(f"{i},1,4\n" for i in range(1, 5000)) + "1,1,9\n")
+    got = landing.load_runners(spark, str(tmp_path / "*.csv"), csv=True)
+    assert got.where("run_id = '1'").first()["barrier"] == 9 and got.count() == 4999
+
+
+def test_places_do_not_collide(spark):
+    """More than a thousand runners in a race, and a race after it."""
+    from railbird.operators import flatten
+
+    races = [{"raceId": "p", "prizeMoney": None, "runners": [{"runnerId": str(i)} for i in range(1500)]},
+             {"raceId": "q", "prizeMoney": "100", "runners": [{"runnerId": "z"}]},
+             {"raceId": "r", "prizeMoney": None, "runners": [{"runnerId": "x"}]}]
+    text = spark.createDataFrame([(json.dumps({"meetingId": "m", "races": races}),)], "value string")
+    meetings = spark.createDataFrame([("m", dt.date(2024, 5, 1))], "meetingId string, date date").withColumn(
+        "track", F.struct(F.lit("n").alias("name"), F.lit("s").alias("state"), F.lit("t").alias("surface"))
+    )
+    got = flatten.field_runners(meetings, landing.parse_feed(text, "value", schemas.FIELDS))
+    assert sorted(r["row_pos"] for r in got.select("row_pos").collect()) == [*range(1500), 1501]
+
+
 def test_envelopes(spark):
     texts = ['{"payLoad":{"a":1},"error":null,"errors":[]}', '{"payLoad":{"a":1},"error":"x"}', '{"a":1}', '[1,2]', '{"payLoad":', '{"error":"kept"}', '{"payLoad":[],"errors":["x"]}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
