@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,10 +98,3 @@ def start_instant(c: ColumnOrName, day: ColumnOrName | None = None) -> Column:
         return full
     at = F.concat_ws(" ", as_column(day).cast("date").cast("string"), F.regexp_extract(text, r"^(\d{1,2}:\d{2})", 1))
     return F.coalesce(full, F.when(clock & as_column(day).isNotNull(), F.try_to_timestamp(at)))
-
-
-def all_true(conditions: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out

@@ -18,11 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS_CONF = "spark.railbird.maxGroupRows"
+LOCAL_DIR_CONF = "spark.railbird.localCheckpointDir"  # in local mode, where spark.checkpoint.dir is unset
 DEFAULT_MAX_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and for tables that cut lineage."""
+    """The shared folder for checkpoints and for tables that cut lineage.
+
+    That is ``spark.checkpoint.dir``. In local mode, where it is unset, ``spark.railbird.localCheckpointDir`` names it, or
+    ``railbird-checkpoints`` in the system's folder for temporary files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -32,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="railbird-"))
+    context.setCheckpointDir(spark.conf.get(LOCAL_DIR_CONF, f"{tempfile.gettempdir()}/railbird-checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -181,14 +186,16 @@ def per_group(
     work: Callable[[DataFrame, Groups], DataFrame],
     probe: DataFrame | None = None,
     max_rows: int | None = None,
+    counted: tuple[DataFrame | None] | None = None,
 ) -> DataFrame:
     """Run ``work`` over the groups of ``df``, the oversized ones apart from the rest.
 
     ``probe`` is a cheaper table with the same keys and at least as many rows per key (the scan
-    that ``df`` was derived from); group sizes are counted on it.
+    that ``df`` was derived from); group sizes are counted on it. ``counted`` holds what ``oversized`` found, if it was asked
+    before.
     """
     keys = list(keys)
-    big = oversized(df if probe is None else probe, keys, max_rows)
+    big = counted[0] if counted else oversized(df if probe is None else probe, keys, max_rows)
     if big is None:
         return work(df, InTask(keys))
     rest = attach(df, big, keys, "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railbird.operators import flatten, merge, payload, prices, race, rules, tables
-from railbird.operators.groups import attach, per_group
+from railbird.operators.groups import attach, oversized, per_group
 from railbird.operators.score import ScoreSpec
 from railbird.sources import landing, schemas
 from railbird.sources.store import Store
@@ -114,8 +114,9 @@ def daily(
 
     record_prices(store, runners, as_of)
     book = rule_book or rules.default_rules()
-    picked = judge(store, runners, book)
-    records = publish(store, runners, as_of, spec, book)
+    counted = (oversized(runners.select(*KEY), KEY),)
+    picked = judge(store, runners, book, counted)
+    records = publish(store, runners, as_of, spec, book, counted=counted)
     order = [F.col(c).asc_nulls_last() for c in ("start_time", "race_id", "run_id")]
     return {
         "results": statuses,
@@ -135,9 +136,11 @@ def record_prices(store: Store, runners: DataFrame, as_of: dt.datetime) -> None:
     cull_prices(store, as_of)
 
 
-def judge(store: Store, runners: DataFrame, rule_book: rules.RuleBook | None = None) -> DataFrame:
+def judge(
+    store: Store, runners: DataFrame, rule_book: rules.RuleBook | None = None, counted: tuple[DataFrame | None] | None = None
+) -> DataFrame:
     """Pick anew for all given races; picks of other races stay, those of races that no longer qualify go."""
-    fresh = per_group(runners, KEY, lambda df, g: rules.picks(df, g, rule_book), probe=runners.select(*KEY))
+    fresh = per_group(runners, KEY, lambda df, g: rules.picks(df, g, rule_book), runners.select(*KEY), counted=counted)
     kept = tables.remove_evaluated(store.current("picks", schemas.PICKS), runners)
     return store.replace("picks", tables.upsert(kept, schemas.conform(fresh, schemas.PICKS), ["race_id", "run_id", "model"]))
 
@@ -150,6 +153,7 @@ def publish(
     book: rules.RuleBook | None = None,
     tie: Sequence[str] = tables.ROW_ORDER,
     priced: DataFrame | None = None,
+    counted: tuple[DataFrame | None] | None = None,
 ) -> DataFrame:
     """Write what is published: race records in race order, picks by race, the models, and the day's prices.
 
@@ -167,7 +171,7 @@ def publish(
     opened = prices.open_recent(store.read("prices", f"{schemas.PRICE_HISTORY}, snapshot_date DATE"), day=today)
     priced = prices.attach_prices((runners if priced is None else priced).select("run_id").distinct(), opened, today)
     store.replace("day_prices", priced.where(F.col("price_points").isNotNull()))
-    records = per_group(runners, KEY, lambda df, g: payload.race_payload(df, g, spec, tie), probe=runners.select(*KEY))
+    records = per_group(runners, KEY, lambda df, g: payload.race_payload(df, g, spec, tie), runners.select(*KEY), counted=counted)
     earlier = store.latest("races")
     if earlier is not None:
         records = tables.remove_evaluated(earlier, runners).unionByName(records)
