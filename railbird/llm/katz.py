@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,27 +75,84 @@ def cuts(keys: np.ndarray, parts: int) -> list[tuple[int, slice]]:
     return [(int(of[a]), slice(a, b)) for a, b in zip(begins.tolist(), ends, strict=True)]
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def released(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Byte by byte of all values, so that like bytes lie together and compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Byte by byte of all values, so that like bytes lie together, compressed."""
+    return squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
 
 
 def unpacked(data: bytes, kind: type = U) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(released(data), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, whose upper bytes are zero."""
+    return packed(np.diff(keys, prepend=U(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=U)
 
 
 def small(counts: np.ndarray) -> tuple[bytes, bytes]:
     """Counts as bytes, with those from 255 on in a list of their own."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
+    return squeezed(np.minimum(counts, 255).astype(np.uint8).tobytes()), counts[counts >= 255].astype(np.int64).tobytes()
 
 
 def grown(low: bytes, high: bytes) -> np.ndarray:
-    counts = np.frombuffer(low, dtype=np.uint8).astype(np.int64)
+    counts = np.frombuffer(released(low), dtype=np.uint8).astype(np.int64)
     counts[counts == 255] = np.frombuffer(high, dtype=np.int64)
     return counts
 
 
+def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of each chunk; those of one chunk come one after the other."""
+    now, held = None, []
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.diff(chunks, prepend=~chunks[:1]))
+        for begin, end in zip(begins, [*begins[1:], len(chunks)], strict=True):
+            if chunks[begin] != now:
+                if held:
+                    yield now, held
+                now, held = chunks[begin].item(), []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield now, held
+
+
+def together(docs: DataFrame, kind: str) -> DataFrame:
+    """A row for each chunk of ``chunk, _doc, _out, _text``: its ids, marks and texts, these compressed as one."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in by_chunk(batches):
+            table = pa.Table.from_batches(rows)
+            documents = [x for c in table.column("_text").chunks for x in texts(c)]
+            ids, out = (pa.ListArray.from_arrays([0, len(table)], table.column(c).combine_chunks()) for c in ("_doc", "_out"))
+            sizes = packed(np.array([len(x) for x in documents], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), ids, out, pa.array([sizes], pa.binary()), pa.array([squeezed(b"".join(documents))], pa.binary())],
+                names=["chunk", "ids", "out", "sizes", "texts"],
+            )
+
+    return docs.mapInArrow(pack, f"chunk long, ids array<{kind}>, out array<boolean>, sizes binary, texts binary")
+
+
+def apart(row: dict) -> list[bytes]:
+    """The texts of a chunk's row."""
+    sizes, data = unpacked(row["sizes"], np.int64), released(row["texts"])
+    ends = np.cumsum(sizes)
+    return [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
 REQUEST = "part int, chunk long, kind int, keys binary, low binary, high binary"
 
 
@@ -115,25 +173,17 @@ def requests(docs: DataFrame, text: str, held_out: str, parts: int) -> DataFrame
             counts = np.searchsorted(learned, distinct, "right") - np.searchsorted(learned, distinct, "left")
             for part, run in cuts(distinct, parts):
                 low, high = small(counts[run])
-                yield {"part": part, "chunk": chunk, "kind": kind, "keys": packed(distinct[run]), "low": low, "high": high}
+                yield {"part": part, "chunk": chunk, "kind": kind, "keys": packed_keys(distinct[run]), "low": low, "high": high}
 
     schema = pa.schema(
         [("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("keys", "low", "high")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, documents, out = None, [], []
-        for batch in batches:
-            columns = batch.column("chunk").to_pylist(), batch.column(held_out).to_pylist()
-            for chunk, mark, data in zip(*columns, texts(batch.column(text)), strict=True):
-                if chunk != now:
-                    if documents:
-                        yield pa.RecordBatch.from_pylist(list(ask(now, documents, out)), schema=schema)
-                    now, documents, out = chunk, [], []
-                documents.append(data)
-                out.append(mark)
-        if documents:
-            yield pa.RecordBatch.from_pylist(list(ask(now, documents, out)), schema=schema)
+        for chunk, rows in by_chunk(batches):
+            documents = [x for r in rows for x in texts(r.column(text))]
+            out = [x for r in rows for x in r.column(held_out).to_pylist()]
+            yield pa.RecordBatch.from_pylist(list(ask(chunk, documents, out)), schema=schema)
 
     return docs.select("chunk", held_out, text).mapInArrow(run, REQUEST)
 
@@ -158,7 +208,7 @@ def answers(asked: DataFrame) -> DataFrame:
             if not rows:
                 continue
             part = rows[0]["part"]
-            each = [unpacked(r["keys"]) for r in rows]
+            each = [unpacked_keys(r["keys"]) for r in rows]
             keys = np.concatenate(each)
             own = np.concatenate([grown(r["low"], r["high"]) for r in rows])
             order = np.argsort(keys, kind="stable")
@@ -261,7 +311,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     def scored(own: pa.Table, given: pa.Table) -> pa.Table:
         return _scored(own, given, model, left, parts)
 
-    partial = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scored, SCORED.format(id=kind))
+    partial = together(rows, kind).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scored, SCORED.format(id=kind))
     out = partial.groupBy("part").applyInArrow(_weighted, f"chunk long, place int, doc {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     # the part that needed no back-off weights, and what each partition of the weights adds
     return (
@@ -288,11 +338,12 @@ def _told(given: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scored(own: pa.Table, given: pa.Table, model: Model, left: float, parts: int) -> pa.Table:
-    documents = [x for c in own.column("_text").chunks for x in texts(c)]
+    documents = [x for row in own.select(["sizes", "texts"]).to_pylist() for x in apart(row)]
     chunk = own.column("chunk")[0].as_py()
+    ids, marks = (pa.chunked_array([c.flatten() for c in own.column(name).chunks]).combine_chunks() for name in ("ids", "out"))
     told = given.to_pylist()
     found = tokens(documents)
-    out = np.array(own.column("_out").to_pylist(), dtype=bool)
+    out = np.array(marks.to_pylist(), dtype=bool)
     # the start is among the words a chunk asks for
     words, at = np.unique(np.append(found.words, START), return_inverse=True)
     word_counts, _ = _told(told, WORD)
@@ -331,7 +382,7 @@ def _scored(own: pa.Table, given: pa.Table, model: Model, left: float, parts: in
             "part": part,
             "chunk": pa.array([chunk] * n, pa.int64()),
             "place": line["place"],
-            "doc": own.column("_doc").combine_chunks(),
+            "doc": ids,
             "held_out": pa.array(out),
             **{c: line[c] for c in ("n_tokens", "n_known", "base", "score")},
             **{c: pa.nulls(n, pa.binary()) for c in ("keys", "seen", "expected", "places", "times")},
@@ -346,7 +397,7 @@ def _scored(own: pa.Table, given: pa.Table, model: Model, left: float, parts: in
     expected = np.bincount(ctx, chance[at_word[first[mine]]], minlength=len(words))[contexts]
     for p, run in cuts(words[contexts], parts):
         rows.append(
-            {"kind": "sums", "part": p, "keys": packed(words[contexts][run]), "seen": packed(seen[run]), "expected": packed(expected[run])}
+            {"kind": "sums", "part": p, "keys": packed_keys(words[contexts][run]), "seen": packed(seen[run]), "expected": packed(expected[run])}
         )
     # the contexts whose weights its documents need, by document and how often
     need = np.flatnonzero(backed[at_pair])
@@ -361,7 +412,7 @@ def _scored(own: pa.Table, given: pa.Table, model: Model, left: float, parts: in
                     "kind": "ask",
                     "part": p,
                     "chunk": chunk,
-                    "keys": packed(keys),
+                    "keys": packed_keys(keys),
                     "seen": packed(lengths.astype(np.int32)),
                     "places": packed(places[run]),
                     "times": packed(times[run].astype(np.int32)),
@@ -378,7 +429,7 @@ def _weighted(table: pa.Table) -> pa.Table:
     sums = table.filter(pa.array(kinds == "sums")).select(["keys", "seen", "expected"]).to_pylist()
     asked = table.filter(pa.array(kinds == "ask")).select(["chunk", "keys", "seen", "places", "times"])
     if sums and len(asked):
-        keys = np.concatenate([unpacked(r["keys"]) for r in sums])
+        keys = np.concatenate([unpacked_keys(r["keys"]) for r in sums])
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         firsts = np.flatnonzero(np.diff(ranked, prepend=~ranked[:1]))
@@ -390,7 +441,7 @@ def _weighted(table: pa.Table) -> pa.Table:
         schema = done[0].schema
         for i in range(len(asked)):
             r = asked.slice(i, 1).to_pylist()[0]
-            each = np.repeat(weights[np.searchsorted(contexts, unpacked(r["keys"]))], unpacked(r["seen"], np.int32))
+            each = np.repeat(weights[np.searchsorted(contexts, unpacked_keys(r["keys"]))], unpacked(r["seen"], np.int32))
             places = unpacked(r["places"], np.int32)
             distinct, at = np.unique(places, return_inverse=True)
             added = np.bincount(at, each * unpacked(r["times"], np.int32))
