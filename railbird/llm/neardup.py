@@ -3,11 +3,12 @@
 Documents with one set of shingles are one class, and only classes are compared. A class's MinHash samples are cut into
 bands; classes that agree on a band meet in a bucket. The samples are also folded into an odd sketch: a bitmap in which
 each sample flips a bit, so the XOR of two sketches holds the parity of just the samples they do not share. Its bits tell
-a high similarity very precisely, and candidates far below the threshold go no further. Links are confirmed on full sets.
+a high similarity very precisely, and candidates far below the threshold go no further.
 
-A bucket's classes are not all paired. They are compared with its smallest; a bucket that is one component by then is
-done. The others are compared with a few classes drawn from each, in rounds, and what then is still apart is paired in
-full, in cells of bounded size.
+Classes of a bucket are compared by sketch with its smallest one, and where that leaves several families, with a few more
+drawn from the bucket, and what then is outside the largest with all. A family (what such candidates connect) is then confirmed on full sets, in cells of bounded size: first every group of
+its classes by itself and with the first group, then those still outside the largest component with all others. A cell
+puts out no pairs, only what connects its classes.
 """
 
 from __future__ import annotations
@@ -29,11 +30,14 @@ from railbird.operators.groups import durable
 
 BITS = 512  # of an odd sketch
 MISS = 1e-8  # the chance that two classes just at the threshold share no band
-PIVOTS = 8  # classes drawn from a bucket in a round
-ROUNDS = 4
-CELL = 256
+PIVOTS = 4  # classes drawn from a bucket in a round
+ROUNDS = 2
+SMALL = 16  # classes of a bucket that are paired at once
+CELL = 256  # classes of a group with their sets; a cell holds two groups
+SKETCH_CELL = 1024  # classes of a group with their sketches
+BLOCK = 1 << 15  # shingles that a cell compares at a time
 FILTER_BITS = 26
-SIGMAS = 6.0
+SIGMAS = 5.0
 
 
 @dataclass(frozen=True)
@@ -175,100 +179,193 @@ def _side(table: DataFrame, side: str, *columns: str) -> DataFrame:
     return table.select(*[F.col(c).alias(short.get(c, f"{side}_{c}")) for c in columns])
 
 
-class Linker:
-    """Candidate pairs to confirmed links, for the classes of one corpus."""
+def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and sketches allow a link."""
+    columns = ("node", "n_shingles", "odd")
+    sides = pairs.join(_side(classes, "a", *columns), "a").join(_side(classes, "b", *columns), "b")
+    return sides.select("a", "b", "a_n", "b_n", "a_odd", "b_odd")
 
-    def __init__(self, docs: DataFrame, text: str, near: Near, classes: DataFrame):
-        self.docs, self.text, self.near, self.classes = docs, text, near, classes
-        self.sets: DataFrame | None = None
 
-    def sketched(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` whose sizes and sketches allow a link."""
-        columns = ("node", "n_shingles", "odd")
-        return (
-            pairs.join(_side(self.classes, "a", *columns), "a")
-            .join(_side(self.classes, "b", *columns), "b")
-            .where(_possible(self.near))
-            .select("a", "b", "a_n", "b_n")
-        )
-
-    def confirmed(self, possible: DataFrame, members: DataFrame) -> DataFrame:
-        """The pairs ``a, b, a_n, b_n`` that are linked, by their full sets."""
-        if self.sets is None:
-            self.sets = durable(full_sets(self.docs, self.text, self.near, members))
-        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        both = F.col("a_n") + F.col("b_n")
-        linked = possible.join(_side(self.sets, "a", "node", "shingles"), "a").join(_side(self.sets, "b", "node", "shingles"), "b")
-        return linked.where(common * 100 >= (both - common) * self.near.percent).select("a", "b")
-
-
-def links(docs: DataFrame, text: str, near: Near, classes: DataFrame) -> DataFrame | None:
-    """Links between classes, enough to connect all that any links connect; None if there are none.
+def families(classes: DataFrame, near: Near) -> DataFrame | None:
+    """``node`` and ``component``: classes that share a band and may be linked, directly or by others. None if there are none.
 
     ``classes`` has ``node, n_shingles, odd, bands``, each class once.
     """
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     members = durable(rows.join(shared, "bucket"))
-    linker = Linker(docs, text, near, classes)
-
-    def ordered(a: str, b: str) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    first = durable(linker.sketched(members.where("node != pivot").select(*ordered("pivot", "node")).distinct()))
-    if first.isEmpty() and members.where("size > 2").isEmpty():
-        return None
-    wanted = members.where("size > 2").select("node").union(first.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    edges = durable(linker.confirmed(first, wanted))
+    stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    met = durable(sketched(stars, classes).where(_possible(near)).select("a", "b"))
+    # with two classes, all are compared by now
     left = members.where("size > 2").select("bucket", "node")
     for number in range(ROUNDS + 1):
-        left = durable(_still_apart(left, edges))
         if left.isEmpty():
             break
-        sized = left.join(left.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
-        if number < ROUNDS:
-            draw = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 30)) * F.col("size") < PIVOTS * (1 << 30)
-            drawn = sized.where(draw).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("_component"))
-            pairs = left.join(drawn, "bucket").where("component != _component").select(*ordered("pivot", "node")).distinct()
-            possible = linker.sketched(pairs)
-        else:
-            possible = linker.sketched(_in_cells(sized, linker.classes, near))
-        edges = durable(edges.union(linker.confirmed(durable(possible), wanted)))
-        if number < ROUNDS:  # buckets of which every class was drawn are done
-            left = sized.where(F.col("size") > PIVOTS).select("bucket", "node")
-    return edges
+        apart = durable(_still_apart(left, met))
+        if apart.isEmpty():
+            break
+        if number == ROUNDS:
+            met = durable(met.union(_across(apart, classes, near)))
+            break
+        draw = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 30)) * F.col("size") < PIVOTS * (1 << 30)
+        drawn = apart.where(draw).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("_component"))
+        pairs = apart.join(drawn, "bucket").where("component != _component")
+        pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        met = durable(met.union(sketched(pairs, classes).where(_possible(near)).select("a", "b")))
+        # buckets of which every class was drawn are done
+        left = apart.where(F.col("size") > PIVOTS).select("bucket", "node")
+    return None if met.isEmpty() else components(met)
 
 
 def _still_apart(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """``bucket, node, component`` of the buckets whose classes lie in several components of ``edges``."""
-    known = components(edges)
-    placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    return placed.join(several.where("_low < _high").select("bucket"), "bucket").select("bucket", "node", "component")
+    """``bucket, node, component, size`` of the buckets whose classes lie in several components of ``edges``."""
+    placed = members.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("bucket").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("size")
+    )
+    return placed.join(several.where("_low < _high").select("bucket", "size"), "bucket")
 
 
-def _in_cells(sized: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """All pairs of classes of one bucket and different components whose sketches allow a link.
+def _across(apart: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """Pairs of classes of one bucket and different components whose sketches allow a link.
 
-    The classes of a bucket are dealt to groups of about ``CELL``, and each pair of groups is a cell of its own, so no
-    task holds a large bucket; only pairs that pass come out.
+    A large bucket's classes outside its largest component are compared with all of it, in cells of two groups of about
+    ``SKETCH_CELL`` classes. A cell puts out what connects its components and no more.
     """
-    groups = F.ceil(F.col("size") / CELL)
-    dealt = sized.join(classes.select("node", "n_shingles", "odd"), "node").withColumns(
-        {"groups": groups.cast("int"), "group": F.pmod(F.xxhash64("node", F.lit(-1)), groups).cast("int")}
-    )
-    columns = ["bucket", "low", "high"]
-    left = dealt.withColumns({"low": F.col("group"), "high": F.explode(F.expr("sequence(group, groups - 1)"))})
-    right = dealt.withColumns({"high": F.col("group"), "low": F.explode(F.expr("sequence(0, group)"))})
     kept = ("node", "n_shingles", "odd", "component")
-    a = left.select(*columns, *[F.col(c).alias({"node": "x", "n_shingles": "x_n"}.get(c, f"x_{c}")) for c in kept])
-    b = right.select(*columns, *[F.col(c).alias({"node": "y", "n_shingles": "y_n"}.get(c, f"y_{c}")) for c in kept])
-    met = a.join(b, columns).where(
-        (F.col("x_component") != F.col("y_component"))
-        & ((F.col("low") < F.col("high")) | (F.col("x") < F.col("y")))
-        & _possible(near, "x", "y")
+    told = apart.join(classes.select("node", "n_shingles", "odd"), "node")
+    few = told.where(F.col("size") <= SMALL)
+    a, b = (few.select("bucket", *[F.col(c).alias({"node": s, "n_shingles": f"{s}_n"}.get(c, f"{s}_{c}")) for c in kept]) for s in "ab")
+    met = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & _possible(near))
+
+    def meet(table: pa.Table) -> pa.Table:
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        sizes, component = (table.column(c).to_numpy()[first] for c in ("n_shingles", "component"))
+        bits = np.array(table.column("odd").to_pylist(), dtype=np.int64).view(U)[first]
+        linked = component[:, None] == component[None, :]
+        for i in range(len(nodes)):
+            far = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
+            low, high = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+            linked[i] |= (far <= near.far) & (low * 100 >= high * near.percent)
+        label = connected(linked)
+        _, one = np.unique(component, return_index=True)
+        one = one[component[one] != component[label[one]]]
+        return pa.table({"a": nodes[one], "b": nodes[label[one]]})
+
+    large = told.where(F.col("size") > SMALL).withColumn("groups", F.ceil(F.col("size") / SKETCH_CELL).cast("int"))
+    cells = _outside_with_all(large, "bucket", SKETCH_CELL)
+    found = cells.groupBy("bucket", "part", "group").applyInArrow(meet, "a long, b long")
+    return met.select("a", "b").union(found).distinct()
+
+
+def _outside_with_all(placed: DataFrame, key: str, cell: int) -> DataFrame:
+    """For each key the classes outside its largest component, in parts, with all its classes, in groups: cells
+    (``part, group``) of about ``cell`` classes of each. ``placed`` has ``node, component, groups`` besides."""
+    counted = placed.groupBy(key, "component").agg(F.count("*").alias("_n"))
+    main = counted.groupBy(key).agg(
+        F.max_by("component", F.struct("_n", "component")).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")
     )
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    main = main.where("_all > _most").withColumn("_parts", F.ceil((F.col("_all") - F.col("_most")) / cell).cast("int"))
+    known = placed.join(main.select(key, "_main", "_parts"), key)
+    part = F.pmod(F.xxhash64("node", F.lit(-3)), F.col("_parts")).cast("int")
+    group = F.pmod(F.xxhash64("node", F.lit(-2)), F.col("groups")).cast("int")
+    working = ["_main", "_parts", "groups"]
+    rest = known.where("component != _main").withColumn("part", part).withColumn("group", F.explode(F.expr("sequence(0, groups - 1)")))
+    every = known.withColumn("group", group).withColumn("part", F.explode(F.expr("sequence(0, _parts - 1)")))
+    return rest.drop(*working).unionByName(every.drop(*working))
+
+
+def connected(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row it is connected with."""
+    count = len(linked)
+    label = np.arange(count)
+    while True:
+        least = np.where(linked, label[None, :], count).min(axis=1)
+        least = np.minimum(least, label)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first set that links connect it with, by the full sizes of all intersections.
+
+    A shingle of one set only is in no intersection. The others are numbered, and each set is a row of bits over a block
+    of them.
+    """
+    count, sizes = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    rows = np.repeat(np.arange(count), sizes)
+    _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = often > 1
+    number = np.where(common, np.cumsum(common) - 1, -1)[number]
+    rows, number = rows[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    rows, number = rows[order], number[order]
+    both = np.zeros((count, count), dtype=np.int64)
+    total = int(common.sum())
+    for start in range(0, total, BLOCK):
+        width = min(BLOCK, -(-(total - start) // 64) * 64)
+        run = slice(*np.searchsorted(number, [start, start + width]))
+        marks = np.zeros((count, width), dtype=bool)
+        marks[rows[run], number[run] - start] = True
+        bits = np.packbits(marks, axis=1).view(U)
+        for i in range(count - 1):
+            both[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(axis=1, dtype=np.int64)
+    both += both.T
+    linked = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * percent
+    return connected(linked)
+
+
+def _connected(cells: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links ``a, b`` that connect what is connected within each cell (rows of ``node, shingles``)."""
+
+    def work(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        nodes, first = np.unique(nodes, return_index=True)
+        sets = table.column("shingles").combine_chunks()
+        label = connect([sets[int(i)].values.to_numpy().view(U) for i in first], percent)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": nodes[moved], "b": nodes[label[moved]]})
+
+    return cells.select(*keys, "node", "shingles").groupBy(*keys).applyInArrow(work, "a long, b long")
+
+
+def confirmed(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all that is linked within each family (``node, component``), confirmed on full sets.
+
+    A family of several groups: each group is compared with itself and with the first, which takes work in proportion to
+    its size and commonly connects nearly all of it. The classes outside its largest component are then compared with
+    every group.
+    """
+    sizes = family.groupBy("component").agg(F.count("*").alias("size"))
+    groups = F.ceil(F.col("size") / CELL).cast("int")
+    dealt = family.join(sizes, "component").withColumn("groups", groups)
+    dealt = durable(dealt.withColumn("group", F.pmod(F.xxhash64("node", F.lit(-2)), F.col("groups")).cast("int")))
+    to = F.when(F.col("group") == 0, F.expr("sequence(0, groups - 1)")).otherwise(F.array("group"))
+    cells = dealt.select("component", "node", F.explode(to).alias("cell")).join(sets, "node")
+    links = durable(_connected(cells, ["component", "cell"], percent))
+    large = dealt.where("groups > 1")
+    if large.isEmpty():
+        return links
+    family_of = large.select("node", F.col("component").alias("family"), "groups")
+    if links.isEmpty():
+        placed = family_of.withColumn("component", F.col("node"))
+    else:
+        placed = family_of.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    outside = durable(_outside_with_all(placed, "family", CELL).select("family", "part", "group", "node").distinct())
+    if outside.isEmpty():
+        return links
+    return links.union(_connected(outside.join(sets, "node"), ["family", "part", "group"], percent))
+
+
+def links(docs: DataFrame, text: str, near: Near, classes: DataFrame) -> DataFrame | None:
+    """Links between classes, enough to connect all that any links connect; None if there are none."""
+    family = families(classes, near)
+    if family is None:
+        return None
+    family = durable(family)
+    return confirmed(family, durable(full_sets(docs, text, near, family)), near.percent)
 
 
 def near_duplicates(docs: DataFrame, near: Near | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

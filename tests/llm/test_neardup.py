@@ -51,10 +51,14 @@ def test_same_as_all_pairs(spark, near):
     assert found(neardup.near_duplicates(cases.documents(spark), near)) == brute(cases.ROWS, near)
 
 
-def test_group_linked_only_through_some(spark, monkeypatch):
+@pytest.mark.parametrize("small", [3, 64])
+def test_group_linked_only_through_some(spark, monkeypatch, small):
     """A large group of copies, each a few words from the next: no class links to all others."""
+    monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "PIVOTS", 2)
     monkeypatch.setattr(neardup, "CELL", 4)
+    monkeypatch.setattr(neardup, "SKETCH_CELL", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 128)
     texts, text = [], cases.prose(5, 120)
     for i in range(60):
         text = cases.edited(text, i, 1)
@@ -89,7 +93,25 @@ def test_long_texts_are_hashed_in_slices(monkeypatch):
     assert (words.word_hashes(data, words.SPACED) == whole).all() and len(whole) == 5001
 
 
-def test_components_of_a_chain(spark):
+def test_sets_are_connected_exactly(monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[draw.random(300) < 0.93], draw.integers(0, 2**63, draw.integers(0, 40)).astype(np.uint64)])) for _ in range(50)]
+    label = neardup.connect(sets, 80)
+    group = list(range(50))
+    for i in range(50):
+        for j in range(50):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert [group.index(g) for g in group] == label.tolist() and 1 < len(set(group)) < 50
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    monkeypatch.setattr("railbird.llm.components.FEW", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 103: 100, 105: 100}
