@@ -2,6 +2,7 @@
 
 The density of a node is its characters by tag, lowered the more of them are in links. Content lies under the node whose
 children's densities sum to most; the least density between it and the body is the threshold that other parts must reach.
+Blocks of text right beside that node or one that holds it (``TEXT``) are kept whatever their length, unless most is in links.
 Parts that are never an article (see the fixed values) are left out first. Inline markup makes no nodes.
 """
 
@@ -28,6 +29,8 @@ CLOSES_PARAGRAPH = (
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre section summary table ul"
 ).split()
+# blocks that hold the text of an article and not its layout
+TEXT = "p blockquote pre h1 h2 h3 h4 h5 h6 ul ol dl table figure".split()
 # an open element of the key's kind is ended by the next of these
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr")}
 CLOSED_BY |= {"option": ("option",)}
@@ -40,7 +43,7 @@ MARKS = (
 ROLES = "navigation banner contentinfo complementary search form alert dialog".split()
 
 _RAW, _OUTSIDE, _INLINE, _VOID = map(frozenset, (RAW, OUTSIDE, INLINE, VOID))
-_ENDS_P, _MARKS, _ROLES = map(frozenset, (CLOSES_PARAGRAPH, MARKS, ROLES))
+_ENDS_P, _MARKS, _ROLES, _TEXT = map(frozenset, (CLOSES_PARAGRAPH, MARKS, ROLES, TEXT))
 _KEPT = frozenset(("html", "body", "article", "main"))
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>"""
@@ -192,11 +195,13 @@ class Page:
         sums = dict.fromkeys(shown, 0.0)
         for i in shown[1:]:
             sums[self.parents[i]] += density[i]
-        content = self._content(shown, density, sums, last, chars)
+        content = self._content(shown, density, sums, last, chars, linked)
         kept = [piece for node, piece, _ in self.pieces if not self.dropped[node] and content[node]]
         return " ".join("".join(kept).split())
 
-    def _content(self, shown: list[int], density: dict, sums: dict, last: list[int], chars: list[int]) -> list[bool]:
+    def _content(
+        self, shown: list[int], density: dict, sums: dict, last: list[int], chars: list[int], linked: list[int]
+    ) -> list[bool]:
         content = [False] * len(self.tags)
         best = max(shown, key=lambda i: (sums[i], density[i], chars[i], i))
         path, i = [best], best
@@ -208,7 +213,18 @@ class Page:
         named = [i for i in path if self.tags[i] == "article"] or [i for i in path if self.tags[i] == "main"]
         roots = [named[-1]] if named else [best]
         if not named:
-            roots += [i for i in shown[1:] if sums[i] and density[i] >= threshold and sums[i] >= threshold and i not in path]
+            above, on_path = set(path[1:]), set(path)
+            parts = [density[i] for i in shown[1:] if self.parents[i] == best and chars[i]]
+            # a block without others is as dense as the content if it is as dense as the content's own are on average
+            usual = min(threshold, sums[best] / max(1, len(parts)))
+            holders = {self.parents[i] for i in shown[1:]}
+            for i in shown[1:]:
+                if i in on_path or not chars[i]:
+                    continue
+                beside = self.parents[i] in above
+                text = beside and self.tags[i] in _TEXT and 2 * linked[i] <= chars[i]
+                if text or density[i] >= (usual if beside and i not in holders else threshold):
+                    roots.append(i)
             # titles before the content, which are too short to be dense
             roots += [i for i in shown if self.tags[i] == "h1" and i < best]
         for root in roots:

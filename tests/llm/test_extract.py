@@ -32,6 +32,34 @@ def test_article_without_the_rest(name):
     assert extract.main_text(PAGES[name]) == "Title " + " ".join(PARAGRAPHS)
 
 
+BESIDE = {
+    "lead": f"<p>{PARAGRAPHS[0]}</p>",
+    "short": "<p>Short.</p>",
+    "quote": f"<blockquote>{PARAGRAPHS[1]}</blockquote>",
+    "quoted paragraph": "<blockquote><p>Said one.</p></blockquote>",
+    "pre": "<pre>a = 1</pre>",
+    "h2": "<h2>Part two</h2>",
+    "list": "<ul><li>first</li><li>second</li></ul>",
+    "div": f"<div>{PARAGRAPHS[2]}</div>",
+}
+
+
+@pytest.mark.parametrize("name", BESIDE)
+@pytest.mark.parametrize("wrap", ['<div class="post">{}</div>', "{}"])
+def test_blocks_beside_a_denser_one_are_kept(name, wrap):
+    block = BESIDE[name]
+    text = " ".join(re.sub("<[^>]*>", " ", block).split())
+    body = f'<div class="body">{MAIN}</div>'
+    menu = f"<div>{MENU}</div>"
+    assert extract.main_text(menu + wrap.format(block + body)) == " ".join([text, *PARAGRAPHS])
+    assert extract.main_text(menu + wrap.format(body + block)) == " ".join([*PARAGRAPHS, text])
+
+
+def test_lists_of_links_beside_the_content_go():
+    page = f'<div class="post">{MENU}<div class="body">{MAIN}</div><p><a href="/">all of it a link</a></p></div>'
+    assert extract.main_text(page) == " ".join(PARAGRAPHS)
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
