@@ -3,7 +3,9 @@
 The density of a node is its characters by tag, lowered the more of them are in links. Content lies under the node whose
 children's densities sum to most; the least density between it and the body is the threshold that other parts must reach.
 Blocks of text right beside that node or one that holds it (``TEXT``) are kept whatever their length, unless most is in links.
-Parts that are never an article (see the fixed values) are left out first. Inline markup makes no nodes.
+Parts that are never an article (see the fixed values) are left out first: by element, by role, as hidden, or by a class or id
+that is one of ``MARKS`` or begins with one. A class or id never takes out the page's article; see ``Page._drop_marked``.
+Inline markup makes no nodes.
 """
 
 from __future__ import annotations
@@ -51,26 +53,28 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_LEADING = re.compile(r"[a-z0-9]+")
+ASIDE, MARKED = 1, 2
 
 
-def _aside(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article by its name or attributes."""
+def _aside(tag: str, attrs: str, in_article: bool) -> int:
+    """``ASIDE`` for an element that is no part of an article by its name, role or style, ``MARKED`` for one by class or id."""
     if tag in _OUTSIDE or tag == "header" and not in_article:
-        return True
+        return ASIDE
     if not attrs.strip() or tag in _KEPT:
-        return False
+        return 0
+    marked = 0
     for name, value in _NAMED.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return ASIDE
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return ASIDE
         if name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and not _MARKS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            return ASIDE
+        if name in ("class", "id") and any((m := _LEADING.match(x)) and m[0] in _MARKS for x in value.split()):
+            marked = MARKED
+    return marked
 
 
 class Page:
@@ -78,11 +82,13 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["html"], [0], [False]
+        self.marked = [False]  # by class or id, which do not drop an element yet
         self.links = [0]  # links in the element itself, not below
         self.pieces: list[tuple[int, str, bool]] = []  # element, text, whether in a link
         self.open: list[tuple[str, int]] = [("html", 0)]  # all open elements, inline ones with the block they are in
         self.anchors = 0
         self._read(source)
+        self._drop_marked()
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -141,7 +147,8 @@ class Page:
             self._gap()
         self.tags.append(tag)
         self.parents.append(block)
-        self.dropped.append(aside or self.dropped[block])
+        self.dropped.append(aside == ASIDE or self.dropped[block])
+        self.marked.append(aside == MARKED)
         self.links.append(0)
         self.open.append((tag, len(self.tags) - 1))
 
@@ -172,6 +179,35 @@ class Page:
         if gap:
             self._gap()
 
+    def _drop_marked(self) -> None:
+        """Drop the marked elements with all below them, but for those that hold the page's article.
+
+        These are the ones with an article or main in them where there is none outside marked elements, and the ones with
+        more than half of the page's text; the latter not beside an article or main that is in no marked element.
+        """
+        if True not in self.marked:
+            return
+        n = len(self.tags)
+        chars, holds, within, under = [0] * n, [False] * n, [False] * n, [False] * n
+        for node, piece, _ in self.pieces:
+            chars[node] += sum(map(len, piece.split()))
+        for i in range(1, n):
+            up = self.parents[i]
+            within[i] = within[up] or self.tags[up] in ("article", "main")
+            under[i] = under[up] or self.marked[i]
+        for i in range(n - 1, 0, -1):
+            if not self.dropped[i]:
+                chars[self.parents[i]] += chars[i]
+                holds[self.parents[i]] |= holds[i] or bool(chars[i]) and self.tags[i] in ("article", "main")
+        said = any(
+            t in ("article", "main") and chars[i] and not under[i] and not self.dropped[i] for i, t in enumerate(self.tags)
+        )
+        for i in range(1, n):
+            if self.marked[i] and not self.dropped[i]:
+                most = 2 * chars[i] > chars[0] and (not said or within[i] or holds[i])
+                self.dropped[i] = not (most or holds[i] and not said)
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]]
+
     def main_text(self) -> str:
         n = len(self.tags)
         chars, linked, tags, links, last = [0] * n, [0] * n, [0] * n, list(self.links), list(range(n))

@@ -55,6 +55,31 @@ def test_blocks_beside_a_denser_one_are_kept(name, wrap):
     assert extract.main_text(menu + wrap.format(body + block)) == " ".join([*PARAGRAPHS, text])
 
 
+WRAPPERS = [
+    'id=content class="content-with-sidebar"', 'class="has-sidebar"', 'class="post comments-open"', 'class="category-social"',
+    'class="legal-news"', 'id="modal-root" class="page"', 'class="widget"',
+]
+
+
+@pytest.mark.parametrize("attrs", WRAPPERS)
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "{}"])
+def test_wrappers_of_the_article_are_not_dropped(attrs, inner):
+    aside = f'<div class="sidebar-right"><p>{cases.prose(54, 30)}</p></div>'
+    page = f"<body><nav>{MENU}</nav><div {attrs}><h1>Title</h1>{inner.format(MAIN)}{aside}</div></body>"
+    text = " ".join(PARAGRAPHS)
+    assert extract.main_text(page) in (text, f"Title {text}")
+    inside = f"<article><h1>Title</h1><div {attrs}>{MAIN}</div></article>"
+    assert extract.main_text(inside) == f"Title {text}"
+
+
+def test_long_comments_do_not_replace_the_article():
+    comments = "".join(f'<article class="comment"><p>{cases.prose(60 + i, 90)}</p></article>' for i in range(9))
+    page = f'<article><h1>Title</h1>{MAIN}</article><div id="comments"><p>{cases.prose(55, 400)}</p></div>'
+    assert extract.main_text(page) == "Title " + " ".join(PARAGRAPHS)
+    page = f'<article><h1>Title</h1>{MAIN}</article><div class="related-posts">{comments[: len(comments) // 9]}</div>'
+    assert extract.main_text(page) == "Title " + " ".join(PARAGRAPHS)
+
+
 def test_lists_of_links_beside_the_content_go():
     page = f'<div class="post">{MENU}<div class="body">{MAIN}</div><p><a href="/">all of it a link</a></p></div>'
     assert extract.main_text(page) == " ".join(PARAGRAPHS)
