@@ -28,6 +28,18 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def without_magic(url: Column) -> Column:
+    """A URL with the dot of each magic in it percent-encoded, since readers split on the magic; what looks encoded is so once more."""
+    again = F.regexp_replace(url, "WARC/1%((?:25)*)2E", "WARC/1%25$12E")
+    return F.regexp_replace(again, "WARC/1\\.", "WARC/1%2E")
+
+
+def with_magic(url: Column) -> Column:
+    """What ``without_magic`` was given."""
+    dotted = F.regexp_replace(url, "WARC/1%2E", "WARC/1.")
+    return F.regexp_replace(dotted, "WARC/1%25((?:25)*)2E", "WARC/1%$12E")
+
+
 def planned(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """The records that repeat a payload: ``page_id`` and ``refers_to``, the largest id with that payload.
 
@@ -58,7 +70,7 @@ def record(page_id: Column, url: Column, html: Column, refers_to: Column) -> Col
         F.coalesce(page_id.cast("string"), F.lit("none")),
         F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         # a header line cannot hold control characters or blanks
-        F.regexp_replace(F.coalesce(url, F.lit("")), "[\\x00-\\x20\\x7f]", ""),
+        without_magic(F.regexp_replace(F.coalesce(url, F.lit("")), "[\\x00-\\x20\\x7f]", "")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         base32_sha1(payload.cast("binary")),
         F.lit("\r\n"),
@@ -102,7 +114,7 @@ def parsed(df: DataFrame) -> DataFrame:
             "page_id": F.regexp_extract(header(F.col("_head"), "WARC-Record-ID"), "^<urn:x-page:(-?[0-9]+)>$", 1).try_cast("bigint"),
             "refers_to": F.regexp_extract(header(F.col("_head"), "WARC-Refers-To"), "^<urn:x-page:(-?[0-9]+)>$", 1).try_cast("bigint"),
             "stated": F.regexp_replace(header(F.col("_head"), "WARC-Payload-Digest"), "^sha1:", ""),
-            "url": header(F.col("_head"), "WARC-Target-URI"),
+            "url": with_magic(header(F.col("_head"), "WARC-Target-URI")),
         }
     )
     pieces = pieces.withColumn("candidate", F.col("_head").rlike("^[0-9]\r\n") & (F.col("_bytes") >= F.col("_body")) & F.col("block_bytes").isNotNull())
@@ -135,10 +147,13 @@ def fields(df: DataFrame) -> list[Column]:
 
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """The text between magics, with its file, its split, and a number that grows within the split."""
+    """The text between magics, with its file and that file's length, its split, and a number that grows within the split."""
     read = spark.read.option("lineSep", MAGIC).text(folder)
     return read.select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_size").alias("length"),
     ).withColumn("n", F.monotonically_increasing_id())
 
 
@@ -151,7 +166,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     rows = parsed(pieces(spark, folder))
     known = durable(
         rows.select(
-            "file", "split", "n", "candidate", "whole", "_body", "block_bytes", *fields(rows), (F.col("_bytes") + len(MAGIC)).alias("size")
+            "file", "length", "split", "n", "candidate", "whole", "_body", "block_bytes", *fields(rows), (F.col("_bytes") + len(MAGIC)).alias("size")
         )
     )
     splits = known.groupBy("file", "split").agg(F.sum("size").alias("_split_bytes"))
@@ -169,7 +184,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 def reached(found: DataFrame) -> DataFrame:
     """The candidates that the chain from the beginning of their file reaches."""
     own = Window.partitionBy("file", "split").orderBy("start")
-    some = found.where("candidate")
+    some = found.where("candidate").drop("length")
     breaks = F.coalesce((F.lag("successor").over(own) != F.col("start")).cast("int"), F.lit(1))
     chained = some.withColumn("_breaks", breaks).withColumn("_chain", F.sum("_breaks").over(own))
     chains = Window.partitionBy("file", "split", "_chain")
@@ -196,13 +211,24 @@ def reached(found: DataFrame) -> DataFrame:
     return chained.join(entries, ["file", "chain"]).where(F.col("start") >= F.col("entry")).drop("chain", "entry")
 
 
+def check_whole(found: DataFrame, records: DataFrame) -> None:
+    """Raise ``ValueError`` unless the last record of each file ends where the file does."""
+    ends = records.groupBy("file").agg(F.max("successor").alias("end"))
+    lengths = found.groupBy("file").agg(F.max("length").alias("length"))
+    short = lengths.join(ends, "file", "left").where(~F.col("end").eqNullSafe(F.col("length"))).limit(3).collect()
+    if short:
+        raise ValueError("; ".join(f"{r['file']}: records end at {r['end'] or 0} of {r['length']} bytes" for r in short))
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the archives in ``folder``: see ``FIELDS``. Payloads are digested, not returned.
 
-    Records whose payload holds the magic are put together from their pieces by a second read.
+    Records whose payload holds the magic are put together from their pieces by a second read. A file that is not records
+    from its beginning to its end is a ``ValueError``.
     """
     found = candidates(spark, folder)
     records = durable(reached(found))
+    check_whole(found, records)
     whole = records.where("whole").select(*FIELDS)
     broken = records.where(~F.col("whole"))
     if broken.isEmpty():

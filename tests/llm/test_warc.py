@@ -87,3 +87,29 @@ def test_false_candidates_are_found_and_dropped(spark):
     assert found.where("candidate").count() > len(PAGES)
     assert warc.reached(found).count() == len(PAGES)
     assert found.where("candidate").agg(F.max("successor")).head()[0] >= found.agg(F.max("start")).head()[0]
+
+
+MAGIC_URLS = [
+    (1, "http://a/1", "first", "x"),
+    (2, "http://host/WARC/1.1/spec", "magic in the address", "x"),
+    (3, "http://host/WARC/1%2E1/WARC/1%252E/WARC/1.WA RC/1.0", INNER, "x"),
+    (4, "http://a/4", "last", "x"),
+]
+
+
+def test_magic_in_addresses(spark):
+    rows = warc.archive(frame(spark, MAGIC_URLS, 1)).select("page_id", "url").collect()
+    assert sorted(map(tuple, rows)) == [(i, url.replace(" ", "")) for i, url, _, _ in MAGIC_URLS]
+
+
+@pytest.mark.parametrize(
+    ("harm", "end"),
+    [(lambda x: x[:-3], "of"), (lambda x: x + "more", "of"), (lambda x: x.replace("Content-Length", "Content-Size"), "end at 0 of")],
+)
+def test_a_file_that_is_not_read_to_its_end_is_an_error(spark, harm, end):
+    folder = f"{shared_dir(spark)}/warc-harmed-{len(harm('Content-Length' * 4))}"
+    warc.write(frame(spark, PAGES[:2], 1), f"{folder}-whole")
+    text = "".join(r["value"] for r in spark.read.option("wholetext", True).text(f"{folder}-whole").collect())
+    spark.createDataFrame([(harm(text),)], "value string").coalesce(1).write.option("lineSep", "\n").text(folder)
+    with pytest.raises(ValueError, match=end):
+        warc.read(spark, folder)
