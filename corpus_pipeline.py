@@ -32,6 +32,16 @@ def set_apart(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFra
     return apart, back
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A copy of the documents in the shared folder with ``_row``, a number for each row.
+
+    Numbers of a scan depend on how it splits the files, so all that is joined by them has to read the one copy.
+    """
+    folder = f"{shared_dir(docs.sparkSession)}/numbered/{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier does not reject, learned from the labels of three quarters of them."""
     learned = docs.where(quality.remainder("doc_id", 4) != 2).select("doc_id", "text")
@@ -43,7 +53,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links of 80 percent or more of five-word shingles: that of the smallest id."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
+    marked = numbered(docs)
     found = neardup.near_duplicates(marked.select(F.struct("doc_id", "_row").alias("_id"), "text"), doc_id="_id")
     gone = durable(found.where(~F.col("kept")).select(F.col("_id._row").alias("_row")))
     return marked.join(gone, "_row", "left_anti").select(*docs.columns)
@@ -66,7 +76,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``shard`` and ``slot``: contiguous shards, by id, of nearly equal bytes."""
-    marked = docs.drop("shard", "slot").withColumn("_row", F.monotonically_increasing_id())
+    marked = numbered(docs.drop("shard", "slot"))
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
     sized = marked.select("doc_id", "_row", size.cast("long").alias("_size"))
     placed = shards.byte_shards(sized, SHARDS, ["doc_id", "_row"], "_size")

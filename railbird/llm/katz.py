@@ -35,7 +35,10 @@ WORD, PAIR = 0, 1
 
 
 def read_chunks(spark: SparkSession, path: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """A Parquet table with the column ``chunk``: runs of ``rows`` consecutive rows of a file, as far as a task reads it."""
+    """A Parquet table with the column ``chunk``: runs of ``rows`` consecutive rows of a file, as far as a task reads it.
+
+    Another read may cut the file, and so name the chunks, in another way.
+    """
     place = (F.col("_metadata.row_index") / rows).cast("long")
     chunk = F.xxhash64("_metadata.file_path", "_metadata.file_block_start", place)
     return spark.read.parquet(path).select("*", chunk.alias("chunk"))
@@ -156,8 +159,8 @@ def apart(row: dict) -> list[bytes]:
 REQUEST = "part int, chunk long, kind int, keys binary, low binary, high binary"
 
 
-def requests(docs: DataFrame, text: str, held_out: str, parts: int) -> DataFrame:
-    """For each chunk, the distinct words and pairs in it, with their counts in its training documents."""
+def requests(chunks: DataFrame, parts: int) -> DataFrame:
+    """For each chunk of ``together``, the distinct words and pairs in it, with their counts in its training documents."""
 
     def ask(chunk: int, documents: list[bytes], out: list[bool]) -> Iterator[dict]:
         found = tokens(documents)
@@ -180,12 +183,12 @@ def requests(docs: DataFrame, text: str, held_out: str, parts: int) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in by_chunk(batches):
-            documents = [x for r in rows for x in texts(r.column(text))]
-            out = [x for r in rows for x in r.column(held_out).to_pylist()]
-            yield pa.RecordBatch.from_pylist(list(ask(chunk, documents, out)), schema=schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_pylist(list(ask(r["chunk"], apart(r), r["out"])), schema=schema)
 
-    return docs.select("chunk", held_out, text).mapInArrow(run, REQUEST)
+    return chunks.select("chunk", "out", "sizes", "texts").mapInArrow(run, REQUEST)
 
 
 ANSWER = "part int, chunk long, kind int, low binary, high binary, owned binary, seen long, distinct long, " + ", ".join(
@@ -302,16 +305,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     """
     size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    answered = durable(answers(requests(docs, text, held_out, parts)))
-    model, left = totals(answered)
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select("chunk", F.col(doc_id).alias("_doc"), F.col(held_out).alias("_out"), F.col(text).alias("_text"))
+    # one fixed copy, as a second read of the documents may name the chunks otherwise
+    chunks = durable(together(rows, kind))
+    answered = durable(answers(requests(chunks, parts)))
+    model, left = totals(answered)
     told = answered.where(F.col("chunk").isNotNull()).select("part", "chunk", "kind", "low", "high", "owned")
 
     def scored(own: pa.Table, given: pa.Table) -> pa.Table:
         return _scored(own, given, model, left, parts)
 
-    partial = together(rows, kind).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scored, SCORED.format(id=kind))
+    partial = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scored, SCORED.format(id=kind))
     out = partial.groupBy("part").applyInArrow(_weighted, f"chunk long, place int, doc {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     # the part that needed no back-off weights, and what each partition of the weights adds
     return (

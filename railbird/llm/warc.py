@@ -147,13 +147,17 @@ def fields(df: DataFrame) -> list[Column]:
 
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """The text between magics, with its file and that file's length, its split, and a number that grows within the split."""
+    """The text between magics, with its file and that file's length, its split, and a number that grows within the split.
+
+    Splits and numbers are those of one read: another may cut the files elsewhere. ``piece`` is the SHA-256 of the text.
+    """
     read = spark.read.option("lineSep", MAGIC).text(folder)
     return read.select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.col("_metadata.file_size").alias("length"),
+        F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("piece"),
     ).withColumn("n", F.monotonically_increasing_id())
 
 
@@ -166,7 +170,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     rows = parsed(pieces(spark, folder))
     known = durable(
         rows.select(
-            "file", "length", "split", "n", "candidate", "whole", "_body", "block_bytes", *fields(rows), (F.col("_bytes") + len(MAGIC)).alias("size")
+            "file", "length", "split", "n", "piece", "candidate", "whole", "_body", "block_bytes", *fields(rows), (F.col("_bytes") + len(MAGIC)).alias("size")
         )
     )
     splits = known.groupBy("file", "split").agg(F.sum("size").alias("_split_bytes"))
@@ -184,7 +188,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 def reached(found: DataFrame) -> DataFrame:
     """The candidates that the chain from the beginning of their file reaches."""
     own = Window.partitionBy("file", "split").orderBy("start")
-    some = found.where("candidate").drop("length")
+    some = found.where("candidate").drop("length", "piece", "n")
     breaks = F.coalesce((F.lag("successor").over(own) != F.col("start")).cast("int"), F.lit(1))
     chained = some.withColumn("_breaks", breaks).withColumn("_chain", F.sum("_breaks").over(own))
     chains = Window.partitionBy("file", "split", "_chain")
@@ -235,7 +239,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         return whole
     marked = found.join(broken.select("file", F.col("start"), F.lit(True).alias("_broken")), ["file", "start"], "left")
     starts = records.select("file", "start", F.lit(True).alias("_record"))
-    marked = marked.select("file", "n", "start", "_broken").join(starts, ["file", "start"], "left")
+    marked = marked.select("file", "piece", "start", "_broken").join(starts, ["file", "start"], "left")
     last = Window.partitionBy("file").orderBy("start")
     owned = marked.withColumns(
         {
@@ -244,8 +248,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     wanted = f"{shared_dir(spark)}/pieces/{uuid.uuid4().hex}"
-    owned.where("of").select("file", "n", "start", "owner").write.parquet(wanted)
-    parts = pieces(spark, folder).join(spark.read.parquet(wanted), ["file", "n"])
+    owned.where("of").select("file", "piece", "start", "owner").write.parquet(wanted)
+    places = spark.read.parquet(wanted)
+    # pieces are asked for by what they are, as the second read may have other splits
+    values = pieces(spark, folder).select("piece", "value").join(places.select("piece").distinct(), "piece", "left_semi")
+    parts = places.join(values.dropDuplicates(["piece"]), "piece")
     together = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("_all"))
     joined = parsed(together.select(F.array_join(F.col("_all.value"), MAGIC).alias("value")))
     return whole.unionByName(joined.select(*fields(joined)))
