@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import zlib
 from collections import defaultdict
 
 import pytest
 
-from railbird.llm import mixture
+import corpus_pipeline
+from railbird.llm import mixture, queries
+from railbird.operators.groups import shared_dir
 from tests.llm import cases
 
 TOKENS = r"size(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0))"
@@ -90,3 +93,15 @@ def test_empty_table_and_columns(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixture.mix(cases.documents(spark), ("lang", "source"), TOKENS, {})._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sources_without_a_number_within_int(spark):
+    sources = ["src1", "src6", "src2147483647", "9" * 40 + "6", "src007", "web", "", "7up", None]
+    folder = f"{shared_dir(spark)}/odd-sources"
+    docs = cases.documents(spark, [cases.row(i, "w " * 10, "en", x) for i, x in enumerate(sources * 3)])
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    number = {"src1": 1, "src6": 2, "src2147483647": 3, "9" * 40 + "6": 0, "src007": 3}
+    expected = {x: f"d{number.get(x, zlib.crc32(x.encode()) % 4)}" for x in sources if x is not None} | {None: None}
+    got = queries.QUERIES["op8_source_mixture"](spark, folder).collect()
+    assert len(got) == len(sources) * 3 and {r["source"]: r["domain"] for r in got} == expected
+    assert corpus_pipeline.mixed(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() == sum(r["copies"] for r in got)
