@@ -104,9 +104,9 @@ def test_snapshot(spark):
 def test_days_change_at_local_midnight_also_when_clocks_do(spark):
     # Melbourne is at +11 until 2024-04-07 03:00 local time, then at +10
     times = ["2024-04-05 12:59:59", "2024-04-05 13:00:00", "2024-04-06 12:30:00", "2024-04-06 13:30:00", "2024-04-07 13:59:59", "2024-04-07 14:00:00"]
-    df = spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(times)], "run_id string, t string, fixed_win_price double")
+    df = spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(times, 1)], "run_id string, t string, fixed_win_price double")
     df = df.select("run_id", F.to_timestamp("t").alias("snapshot_time"), "fixed_win_price")
-    want = [("a", 5, 0.0, 0.0, 1), ("a", 6, 1.0, 2.0, 2), ("a", 7, 3.0, 4.0, 2), ("a", 8, 5.0, 5.0, 1)]
+    want = [("a", 5, 1.0, 1.0, 1), ("a", 6, 2.0, 3.0, 2), ("a", 7, 4.0, 5.0, 2), ("a", 8, 6.0, 6.0, 1)]
     for got in (prices.open_recent(df), prices.days_from_hours(prices.hourly(df))):
         assert rows(got.select("run_id", F.day("local_date"), "open_price", "recent_price", "n")) == want
         assert got.where("open_time > recent_time").count() == 0
