@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import extract, katz, langid, mixture, neardup, quality, shards, syncmers, warc, wumanber
+from railbird.llm import extract, katz, langid, mixture, neardup, periodic, quality, shards, syncmers, warc, wumanber
 from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,3 +236,62 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(docs).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, which their ids name, with a period from a place on that the id names too."""
+    n, h = len(words), 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+# of two runs, the one of the greater length by period comes first, then the one that begins first, then that of the smaller period
+STRONGEST = """get(array_sort(runs, (a, b) -> CASE
+  WHEN a.length * b.period <> b.length * a.period THEN CAST(sign(b.length * a.period - a.length * b.period) AS INT)
+  WHEN a.start <> b.start THEN CAST(sign(a.start - b.start) AS INT) ELSE CAST(sign(a.period - b.period) AS INT) END), 0)"""
+
+# equal stretches of eight words seed the periods of a document; islands of equal words a period apart are its runs
+RUNS_SQL = rf"""WITH {CRC_SQL}, split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words,
+  {crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc_table),
+planned AS (SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a, 3 + (h // 10) % 8 AS parts FROM split),
+docs AS (SELECT row_number() OVER () AS r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+  lambda i: words[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END + 1]) ELSE words END AS words FROM planned),
+eights AS (SELECT r, i, hash(words[i + 1:i + 8]) AS eight FROM (SELECT r, words, unnest(range(n - 7)) AS i FROM docs WHERE n >= 24)),
+periods AS (SELECT DISTINCT a.r, b.i - a.i AS q FROM eights a JOIN eights b ON a.r = b.r AND a.eight = b.eight AND a.i < b.i
+  JOIN docs ON docs.r = a.r WHERE a.i % 8 = 0 AND 3 * (b.i - a.i) <= docs.n),
+same AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM
+  (SELECT r, q, unnest(list_filter(range(n - q), lambda i: words[i + 1] = words[i + q + 1])) AS i FROM periods JOIN docs USING (r))),
+runs AS (SELECT r, start, length, min(q) AS period FROM (SELECT r, q, min(i) AS start, count(*) + q AS length FROM same GROUP BY r, q, island)
+  WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY r),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM runs)
+  WHERE place = 1),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY r),
+kept AS (SELECT docs.r, CASE WHEN gone IS NULL THEN words ELSE list_select(words, [i + 1 FOR i IN list_filter(range(n),
+  lambda i: NOT list_contains(gone, i))]) END AS words FROM docs LEFT JOIN gone USING (r))
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, start, length, CAST(period AS BIGINT) AS period,
+  (1000 * length) // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(kept.words, ' ')) AS collapsed_sha256
+  FROM docs JOIN kept USING (r) LEFT JOIN listed USING (r) LEFT JOIN best USING (r)"""
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of each document, a tenth of which get a period of their own first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(docs, change=with_period).withColumn("best", F.expr(STRONGEST))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
