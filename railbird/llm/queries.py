@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railbird.llm import extract, katz, langid, mixture, neardup, periodic, quality, shards, syncmers, warc, wumanber
+from railbird.llm import extract, katz, langid, mixture, neardup, periodic, quality, search, shards, suffixes, syncmers, warc, wumanber
 from railbird.operators.groups import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,7 +255,8 @@ STRONGEST = """get(array_sort(runs, (a, b) -> CASE
   WHEN a.start <> b.start THEN CAST(sign(a.start - b.start) AS INT) ELSE CAST(sign(a.period - b.period) AS INT) END), 0)"""
 
 # equal stretches of eight words seed the periods of a document; islands of equal words a period apart are its runs
-RUNS_SQL = rf"""WITH {CRC_SQL}, split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words,
+RUNS_SQL = rf"""WITH {CRC_SQL}, split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words,
   {crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc_table),
 planned AS (SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a, 3 + (h // 10) % 8 AS parts FROM split),
 docs AS (SELECT row_number() OVER () AS r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
@@ -295,3 +296,59 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED = 50
+
+
+@query(
+    "op13_ranked_search",
+    f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {TERMS_SQL} AS terms FROM documents),
+held AS (SELECT count(*) AS docs_n, sum(len(terms)) AS terms_n FROM docs WHERE len(terms) > 0),
+postings AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM docs) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, held GROUP BY t),
+lengths AS (SELECT r, doc_id, 100 - 50 + (50 * len(terms) * docs_n) // terms_n AS m FROM docs, held),
+items AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS t FROM benchmark),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM items JOIN weights USING (t) JOIN postings USING (t) JOIN lengths USING (r) GROUP BY item_id, r, doc_id)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+  FROM scored WHERE score > 0) WHERE rank <= {RANKED}""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents that rank highest for each benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = search.search_once(docs, table(spark, sf_dir, "benchmark"), RANKED)
+    return found.select(F.col("query").alias("item_id"), "rank", "doc_id", "score")
+
+
+# texts as hexadecimal digits, two a byte
+REPEATS_SQL = """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h,
+  octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT r, unnest(range(n - 199)) AS i, unnest(list_transform(range(n - 199), lambda i: hash(substr(h, 2 * i + 1, 400)))) AS w
+  FROM docs WHERE n >= 200),
+twice AS (SELECT r, i FROM windows JOIN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1) USING (w)),
+islands AS (SELECT r, i, sum(CASE WHEN i > before + 200 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS island
+  FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM twice)),
+spans AS (SELECT r, min(i) AS start, max(i) + 200 AS stop FROM islands GROUP BY r, island),
+pieces AS (SELECT r, start, stop, substr(h, 2 * last + 1, 2 * (start - last)) AS piece FROM docs JOIN
+  (SELECT *, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS last FROM spans) USING (r)),
+cut AS (SELECT r, count(*) AS n_spans, sum(stop - start) AS n_removed, string_agg(piece, '' ORDER BY start) AS kept, max(stop) AS stop
+  FROM pieces GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * stop + 1) END)) AS kept_sha256
+  FROM docs LEFT JOIN cut USING (r)"""
+
+
+@query("op11_repeated_passages", REPEATS_SQL)
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the strings of 200 bytes that occur more than once."""
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lengths = F.transform("spans", lambda s: s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
