@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from railbird.llm.katz import cuts, packed, packed_keys, released, squeezed, unpacked, unpacked_keys
-from railbird.llm.text import SLICE, U, mixed, numbers, powers, texts
+from railbird.llm.text import U, mixed, numbers, powers, texts
 from railbird.operators.groups import shared_dir
 
-PIECE_BYTES = 8 << 20  # of text, unless one text is longer
+PIECE_BYTES = 2 << 20  # of text, unless one text is longer
 PART_BYTES = 4 << 20  # of text whose suffixes meet in a task, on average
-ROWS = 1 << 13  # contexts gathered at a time
+SLICE = 1 << 18  # bytes whose hashes are worked out at a time
+ROWS = 1 << 11  # contexts gathered at a time
 WIDTH = 200
 APART = 0xFF
 _CODES = numbers(41, 256) | U(1)
