@@ -56,13 +56,19 @@ def count_terms(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-INDEX = "segment long, term binary, m long, tf long, docs array<int>, ids array<long>"
+INDEX = "segment long, term binary, m array<long>, tf array<int>, stops array<int>, docs array<int>, ids array<long>"
+KINDS = [pa.int64(), pa.binary(), *[pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())]]
+NAMES = ["segment", "term", "m", "tf", "stops", "docs", "ids"]
 
 
 @dataclass
 class Index:
-    """Postings in the shared folder: ``folder`` has a row for each (segment, term, m, tf) with the numbers of its documents in
-    the segment, and one for each segment, without a term, with the ids of its documents by number."""
+    """Postings in the shared folder: ``folder`` has a row for each segment and term, and one for each segment, without a term,
+    with the ids of its documents by number.
+
+    A term's ``docs`` are the numbers of its documents in the segment, by stratum and by tf within it; ``m``, ``tf`` and
+    ``stops`` tell for each such stretch what it has in common and where it ends.
+    """
 
     spark: SparkSession
     folder: str
@@ -112,35 +118,27 @@ def _segment(segment: int, ids: list, data: list[bytes], documents: int, terms:
     code = place[code]
     order = np.lexsort((doc, tf, m[doc], code))
     code, m_of, tf, doc = code[order], m[doc][order], tf[order], doc[order]
-    changed = (np.diff(code, prepend=-1) != 0) | (np.diff(m_of, prepend=-1) != 0) | (np.diff(tf, prepend=-1) != 0)
-    firsts = np.flatnonzero(changed)
-    rows = len(firsts)
-    term = pa.array(names, pa.binary()).take(pa.array(code[firsts])) if rows else pa.array([], pa.binary())
-    postings = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(doc)).astype(np.int32)), pa.array(doc.astype(np.int32)))
-    names_ = ["segment", "term", "m", "tf", "docs", "ids"]
-    body = pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(rows, segment)),
-            term,
-            pa.array(m_of[firsts]),
-            pa.array(tf[firsts]),
-            postings,
-            pa.nulls(rows, pa.list_(pa.int64())),
-        ],
-        names=names_,
-    )
-    head = pa.RecordBatch.from_arrays(
-        [
-            pa.array([segment], pa.int64()),
-            pa.nulls(1, pa.binary()),
-            pa.nulls(1, pa.int64()),
-            pa.nulls(1, pa.int64()),
-            pa.nulls(1, pa.list_(pa.int32())),
-            pa.array([ids], pa.list_(pa.int64())),
-        ],
-        names=names_,
-    )
-    return pa.Table.from_batches([head, body]).combine_chunks().to_batches()[0]
+    new_term = np.diff(code, prepend=-1) != 0
+    stretch = np.flatnonzero(new_term | (np.diff(m_of, prepend=-1) != 0) | (np.diff(tf, prepend=-1) != 0))
+    begins = np.flatnonzero(new_term)  # of the terms among documents
+    edges = np.append(np.searchsorted(stretch, begins), len(stretch)).astype(np.int32)  # and among stretches
+    stops = np.append(stretch[1:], len(doc)) - np.repeat(begins, np.diff(edges))
+
+    def lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+    count = len(begins)
+    body = [
+        pa.array(np.full(count, segment), pa.int64()),
+        pa.array(names, pa.binary()),
+        lists(edges, m_of[stretch], pa.int64()),
+        lists(edges, tf[stretch], pa.int32()),
+        lists(edges, stops, pa.int32()),
+        lists(np.append(begins, len(doc)), doc, pa.int32()),
+        pa.nulls(count, pa.list_(pa.int64())),
+    ]
+    head = [pa.array([segment], pa.int64()), *[pa.nulls(1, k) for k in KINDS[1:-1]], pa.array([ids], KINDS[-1])]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(head, body, strict=True)], names=NAMES)
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
@@ -219,13 +217,16 @@ class _Segment:
         ids = table.filter(heads).column("ids").combine_chunks().flatten()
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        body = table.filter(pc.invert(heads)).combine_chunks()
-        self.terms = np.array([numbers[t] for t in body.column("term").to_pylist()], dtype=np.int64)
-        self.m, self.tf = (body.column(c).to_numpy() for c in ("m", "tf"))
-        lists = body.column("docs").combine_chunks() if body.num_rows else pa.array([], pa.list_(pa.int32()))
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        self.docs = lists.flatten().to_numpy(zero_copy_only=False)
-        self.ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))[1:].astype(np.int64)
+        body = table.filter(pc.invert(heads))
+
+        def flat(column: str) -> np.ndarray:
+            return pc.list_flatten(body.column(column)).to_numpy().astype(np.int64)
+
+        terms = np.array([numbers[t] for t in body.column("term").to_pylist()], dtype=np.int64)
+        stretches, docs = (pc.list_value_length(body.column(c)).to_numpy().astype(np.int64) for c in ("m", "docs"))
+        self.m, self.tf, self.docs = flat("m"), flat("tf"), flat("docs")
+        self.terms = np.repeat(terms, stretches)
+        self.ends = flat("stops") + np.repeat(np.cumsum(docs) - docs, stretches)
         self.begins = np.append(0, self.ends[:-1]) if len(self.ends) else self.ends
         # once for each (term, m, tf)
         self.impacts = np.array([impact(tf, m) for tf, m in zip(self.tf.tolist(), self.m.tolist(), strict=True)], dtype=np.int64)
@@ -333,9 +334,7 @@ def search(index: Index, queries: DataFrame, k: int, query_id: str = "item_id",
                     names=["slice", "query", "number", "doc_id", "score"],
                 )
 
-        read = postings.select("segment", "term", "m", "tf", "docs", F.lit(None).cast("array<long>").alias("ids")).unionByName(
-            index.segments().select("segment", "term", "m", "tf", "docs", "ids")
-        )
+        read = postings.select(*NAMES).union(index.segments().select(*NAMES))
         dealt = read.repartition("segment").sortWithinPartitions("segment")
         found.append(dealt.mapInArrow(work, schema))
     if not found:
