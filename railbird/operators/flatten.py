@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railbird.functions.scalars import first_truthy, is_true, number, truthy, whole
-from railbird.operators.groups import InTask
+from railbird.operators.groups import InTask, attach
 from railbird.operators.history import form_features, net_ratings, runner_stats
 from railbird.operators.tables import keep_last
 from railbird.sources.schemas import PERFORMANCE_BLOCKS, RECORD_BLOCKS
@@ -21,11 +21,15 @@ BET_PRIZE = 20000
 
 
 def newest(df: DataFrame, key: str, landed: str = "landed") -> DataFrame:
-    """The documents of each key that landed last, where the feed says when they did."""
+    """The document of each key that landed last, where the feed says when they did.
+
+    The last mark of each key is found on the marks alone; documents are then joined to it, and none is sorted or held for
+    that. ``landed`` tells documents apart, also two of one file.
+    """
     if landed not in df.columns:
         return df
-    w = Window.partitionBy(key).orderBy(F.col(landed).desc_nulls_last())
-    return df.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") == 1).drop("_rank", landed)
+    last = df.groupBy(key).agg(F.max(landed).alias(landed))
+    return attach(df, last, [key, landed], "left_semi").drop(landed)
 
 
 def calendar_races(calendar: DataFrame, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:

@@ -177,5 +177,15 @@ def in_window(start: Column, as_of: dt.datetime, lookahead_hours: float = LOOKAH
     return start.between(F.lit(as_of - JUST_RUN), F.lit(as_of + dt.timedelta(hours=lookahead_hours)))
 
 
+def days_in_window(as_of: dt.datetime, lookahead_hours: float = LOOKAHEAD_HOURS, day: str = "date") -> Column:
+    """The days a race that starts in the window can be of: those of the window in any zone, and none at all.
+
+    A race's own day may be a day before or after that of its start in UTC, not more.
+    """
+    one = dt.timedelta(days=1)
+    first, last = (as_of - JUST_RUN - one).date(), (as_of + dt.timedelta(hours=lookahead_hours) + one).date()
+    return F.col(day).between(F.lit(first), F.lit(last)) | F.col(day).isNull()
+
+
 def only_races(df: DataFrame, races: DataFrame) -> DataFrame:
     return attach(df, races.select("race_id"), ["race_id"], "left_semi")

@@ -17,7 +17,7 @@ from railbird.operators import flatten, merge, payload, prices, race, rules, tab
 from railbird.operators.groups import attach, oversized, per_group
 from railbird.operators.score import ScoreSpec
 from railbird.sources import landing, schemas
-from railbird.sources.store import Store
+from railbird.sources.store import NULL_PARTITION, Store, among
 
 RUNNERS = f"{schemas.RUNNERS}, {schemas.RUNNER_EXTRAS}"
 KEY = ["race_id"]
@@ -106,17 +106,19 @@ def daily(
         known = resulted.where(~F.coalesce(in_range, F.lit(False)))
     merged = tables.upsert(known, new, ["run_id"], tables.ROW_ORDER, prefer=F.col("resulted") == 1)
 
-    ratings = store.read("ext_ratings", f"{schemas.RATINGS}, ingest_seq BIGINT, row_pos INT", merge=True)
+    ratings = store.read("ext_ratings", f"{schemas.RATINGS}, ingest_seq BIGINT, row_pos INT")
     joined = merge.join_ratings(merged, ratings)
     fitted = schemas.conform(joined, RUNNERS)
     table = store.overwrite_partitions("runners", fitted, "date", instead_of=runners)
-    runners = table if since is None else table.where(F.col("date") >= F.lit(since))
+    before, runners = runners, table if since is None else table.where(F.col("date") >= F.lit(since))
+    # a race read again may have moved from one day to another
+    days = None if since is None else days_of(before, runners)
 
     record_prices(store, runners, as_of)
     book = rule_book or rules.default_rules()
     counted = (oversized(runners.select(*KEY), KEY),)
-    picked = judge(store, runners, book, counted)
-    records = publish(store, runners, as_of, spec, book, counted=counted)
+    picked = judge(store, runners, book, counted, days)
+    records = publish(store, runners, as_of, spec, book, counted=counted, days=days)
     order = [F.col(c).asc_nulls_last() for c in ("start_time", "race_id", "run_id")]
     return {
         "results": statuses,
@@ -136,13 +138,39 @@ def record_prices(store: Store, runners: DataFrame, as_of: dt.datetime) -> None:
     cull_prices(store, as_of)
 
 
+def days_of(*tables_: DataFrame) -> list[dt.date | None]:
+    """The days that any of the tables has rows of; None among them for rows without a day."""
+    found = tables_[0].select("date")
+    for more in tables_[1:]:
+        found = found.union(more.select("date"))
+    return [r["date"] for r in found.distinct().collect()]
+
+
+def _on(df: DataFrame, days: Sequence[dt.date | None] | None) -> DataFrame:
+    """The rows of some days, a condition on partitions; without days, all."""
+    if days is None:
+        return df
+    text = dict(df.dtypes)["date"] == "string"
+    return df.where(among("date", [None if d is None else str(d) for d in days] if text else days))
+
+
 def judge(
-    store: Store, runners: DataFrame, rule_book: rules.RuleBook | None = None, counted: tuple[DataFrame | None] | None = None
+    store: Store,
+    runners: DataFrame,
+    rule_book: rules.RuleBook | None = None,
+    counted: tuple[DataFrame | None] | None = None,
+    days: Sequence[dt.date | None] | None = None,
 ) -> DataFrame:
-    """Pick anew for all given races; picks of other races stay, those of races that no longer qualify go."""
+    """Pick anew for all given races; picks of other races stay, those of races that no longer qualify go.
+
+    Picks are kept by day. ``days`` are those the given races are on, or were on when they were last judged; only these are
+    read and written. Returns the pick table.
+    """
     fresh = per_group(runners, KEY, lambda df, g: rules.picks(df, g, rule_book), runners.select(*KEY), counted=counted)
-    kept = tables.remove_evaluated(store.current("picks", schemas.PICKS), runners)
-    return store.replace("picks", tables.upsert(kept, schemas.conform(fresh, schemas.PICKS), ["race_id", "run_id", "model"]))
+    earlier = _on(store.read("picks", schemas.PICKS), days)
+    kept = tables.remove_evaluated(earlier, runners)
+    merged = tables.upsert(kept, schemas.conform(fresh, schemas.PICKS), ["race_id", "run_id", "model"])
+    return store.overwrite_partitions("picks", merged, "date", instead_of=earlier)
 
 
 def publish(
@@ -154,28 +182,46 @@ def publish(
     tie: Sequence[str] = tables.ROW_ORDER,
     priced: DataFrame | None = None,
     counted: tuple[DataFrame | None] | None = None,
+    days: Sequence[dt.date | None] | None = None,
 ) -> DataFrame:
     """Write what is published: race records in race order, picks by race, the models, and the day's prices.
 
-    Records and picks of races not given stay as they are. Prices are the open and the latest one of the local day of
-    each runner given, or of each run in ``priced``. Returns the race records.
+    Records and picks are kept by day, in race order within a day (``payload.RACE_ORDER``, from file to file). ``days`` are
+    those the given races are on, or were on when they were published last; only these are read and written. Records and
+    picks of races not given stay as they are. Prices are the open and the latest one of the local day of each runner given,
+    or of each run in ``priced``; those of other runs stay. Returns the race records.
     """
-    picked = store.current("picks", schemas.PICKS).join(runners.select(*KEY).distinct(), KEY, "left_semi")
-    by_race = per_group(picked, KEY, payload.picks_by_race)
-    known = store.latest("race_picks")
-    if known is not None:
-        by_race = tables.remove_evaluated(known, runners).unionByName(by_race)
-    store.replace("race_picks", by_race)
+    picked = _on(store.read("picks", schemas.PICKS), days).join(runners.select(*KEY).distinct(), KEY, "left_semi")
+    by_race = per_group(picked, KEY, payload.picks_by_race).join(picked.groupBy(*KEY).agg(F.max("date").alias("date")), KEY)
+    _republish(store, "race_picks", by_race, runners, days, ("race_id", "part"))
     store.replace("models", (book or rules.default_rules()).meta(store.spark))
     today = prices.local_date(as_of)
+    runs = (runners if priced is None else priced).select("run_id").distinct()
     opened = prices.open_recent(store.read("prices", f"{schemas.PRICE_HISTORY}, snapshot_date DATE"), day=today)
-    priced = prices.attach_prices((runners if priced is None else priced).select("run_id").distinct(), opened, today)
-    store.replace("day_prices", priced.where(F.col("price_points").isNotNull()))
+    told = prices.attach_prices(runs, opened, today).where(F.col("price_points").isNotNull()).withColumn("local_date", F.lit(today))
+    earlier = store.latest("day_prices")
+    if earlier is not None:
+        earlier = earlier.where(F.col("local_date") == F.lit(today))
+        told = attach(earlier, runs, ["run_id"], "left_anti").unionByName(told)
+    store.overwrite_partitions("day_prices", told, "local_date", instead_of=earlier)
     records = per_group(runners, KEY, lambda df, g: payload.race_payload(df, g, spec, tie), runners.select(*KEY), counted=counted)
-    earlier = store.latest("races")
+    return _republish(store, "races", records, runners, days, payload.RACE_ORDER)
+
+
+def _republish(
+    store: Store, name: str, fresh: DataFrame, races: DataFrame, days: Sequence[dt.date | None] | None, order: Sequence[str]
+) -> DataFrame:
+    """Put fresh rows in the place of those of the given races, on some days of a table."""
+    earlier = store.latest(name)
     if earlier is not None:
-        records = tables.remove_evaluated(earlier, runners).unionByName(records)
-    return store.replace("races", payload.in_race_order(records))
+        earlier = _on(earlier, days)
+        fresh = tables.remove_evaluated(earlier, races).unionByName(fresh)
+    return store.overwrite_partitions(name, fresh, "date", instead_of=earlier, order=order)
+
+
+def published_days(store: Store) -> list[str]:
+    """The days with race records, in order, as the newest snapshot lists them; nothing else is read."""
+    return [f.removeprefix("date=") for f in store.snapshot("races").folders]
 
 
 def refresh(
@@ -194,12 +240,13 @@ def refresh(
     moved; with ``dry_run`` nothing is written.
     """
     runners = store.read("runners", RUNNERS)
-    near = merge.upcoming_races(runners, as_of, lookahead_hours)
+    # only the partitions of these days are read, and that of races without a day
+    near = merge.upcoming_races(runners.where(merge.days_in_window(as_of, lookahead_hours)), as_of, lookahead_hours)
     current = detail.withColumn("race_id", F.col("raceId").cast("string"))
     updates = flatten.live_prices(merge.only_races(current, near))
     # races that start within hours lie on a few days
-    days = [r["date"] for r in merge.only_races(runners, near).select("date").distinct().collect()]
-    touched = runners.where(F.col("date").isin(days))
+    days = days_of(merge.only_races(runners.where(merge.days_in_window(as_of, lookahead_hours)), near))
+    touched = _on(runners, days)
     stats = merge.price_stats(touched, updates)
     if dry_run or not days:
         return stats
@@ -207,27 +254,25 @@ def refresh(
     store.overwrite_partitions("runners", merge.apply_prices(touched, updates), "date")
     runners = store.read("runners", RUNNERS)
     record_prices(store, runners, as_of)
+    # prices of other days did not move, so their picks and records stay
+    touched = _on(runners, days)
     if keep_picks:
-        judge(store, runners)
+        judge(store, touched, days=days)
     if records:
-        # prices of other days did not move, so their records stay
-        publish(store, runners.where(F.col("date").isin(days)), as_of, spec)
+        publish(store, touched, as_of, spec, days=days)
     return stats
 
 
 def cull_prices(store: Store, as_of: dt.datetime) -> DataFrame:
     """Drop the prices that are too old: whole days, and the older part of the first day kept. The table as it is then."""
-    ddl = f"{schemas.PRICE_HISTORY}, snapshot_date DATE"
-    history = store.read("prices", ddl)
+    ddl, by = f"{schemas.PRICE_HISTORY}, snapshot_date DATE", "snapshot_date"
     limit = as_of - dt.timedelta(days=prices.KEEP_DAYS)
-    day = F.col("snapshot_date")
-    # a run is at most a few days after the one before
-    gone = [r[0] for r in history.where(day < F.lit(limit.date())).select("snapshot_date").distinct().collect()]
-    store.drop_partitions("prices", "snapshot_date", gone)
-    edge = store.read("prices", ddl).where(day == F.lit(limit.date()))
+    kept_days = [f.removeprefix(f"{by}=") for f in store.snapshot("prices").folders]
+    store.drop_partitions("prices", by, [d for d in kept_days if d < str(limit.date()) and d != NULL_PARTITION])
+    edge = store.read("prices", ddl).where(F.col(by) == F.lit(limit.date()))
     if not edge.where(F.col("snapshot_time") < F.lit(limit)).isEmpty():
         recent = tables.retain(edge, "snapshot_time", as_of, prices.KEEP_DAYS)
-        store.overwrite_partitions("prices", recent, "snapshot_date", instead_of=edge)
+        store.overwrite_partitions("prices", recent, by, instead_of=edge)
     return store.read("prices", ddl)
 
 
@@ -266,14 +311,14 @@ def provider_ingest(
     for name, (rows, keys) in incoming.items():
         rows = rows.withColumn("ingest_seq", number)
         types = dict(rows.dtypes)
-        existing = store.read(name, ", ".join(f"`{k}` {types[k]}" for k in keys), merge=True)
+        existing = store.read(name, ", ".join(f"`{k}` {types[k]}" for k in keys))
         day = keys[0]
         if day in existing.columns:
             # tables are partitioned by day, so only the days of the range are read
             existing = existing.where(F.col(day).between(F.lit(first), F.lit(last)))
         fresh = tables.new_rows(existing, rows, keys).withColumn("batch", number)
         store.append(name, fresh, [day])
-        written = store.read(name, f"{day} {types[day]}, batch BIGINT", merge=True)
+        written = store.read(name, f"{day} {types[day]}, batch BIGINT")
         added[name] = written.where(F.col(day).between(F.lit(first), F.lit(last)) & (F.col("batch") == number)).count()
     return added
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,21 +27,24 @@ def _renamed(dtype: T.DataType, names: Mapping[str, str]) -> T.DataType:
     return dtype
 
 
-def read_feed(
-    spark: SparkSession, path: str, ddl: str, names: Mapping[str, str] | None = None, lines: bool = False
-) -> DataFrame:
-    """A JSON feed, one document or (``lines``) one record per line.
+def read_feed(spark: SparkSession, path: str, ddl: str, names: Mapping[str, str] | None = None) -> DataFrame:
+    """A JSON feed: each file is a document or a list of documents.
 
-    ``names`` maps our field names to the feed's where those differ. A cast by position gives the
-    columns and nested fields our names again. ``landed`` orders the files of a feed by the time they came.
+    ``names`` maps our field names to the feed's where those differ. A cast by position gives the columns and nested fields
+    our names again. ``landed`` orders the documents of a feed by the time their file came and their place in it; a whole file
+    is parsed as one text, so places do not depend on how a scan is split. What is no JSON gives no rows.
     """
     ours = struct_type(ddl)
     theirs = _renamed(ours, names or {})
-    raw = spark.read.schema(theirs).option("multiLine", not lines).json(path)
+    files = spark.read.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_time")
+    )
+    parsed = F.from_json("value", T.ArrayType(theirs))
+    raw = files.select("_file", "_time", F.posexplode(parsed).alias("_place", "_doc"))
     return raw.select(
-        *[F.col(f"`{t.name}`").cast(o.dataType).alias(o.name) for t, o in zip(theirs, ours, strict=True)],
-        F.col("_metadata.file_path").alias("_file"),
-        F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("landed"),
+        *[F.col("_doc")[t.name].cast(o.dataType).alias(o.name) for t, o in zip(theirs, ours, strict=True)],
+        "_file",
+        F.struct(F.col("_time").alias("time"), F.col("_file").alias("file"), F.col("_place").alias("place")).alias("landed"),
     )
 
 
@@ -181,45 +183,54 @@ def _csv_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _file_order(raw: DataFrame) -> Column:
-    """A number that grows along a file and from file to file, in the order of their names.
+def file_place() -> Column:
+    """Where a row lies in an export: its file, the piece of the file a task read, and the row in that.
 
-    Spark packs pieces of files by size, so the number of a row within its task is no order across files. The rows of a
-    task are fewer than its bytes, so they do not reach the number at which the next piece of a file begins.
+    It orders rows as the files of a folder do by name, without naming a file. Rows of one piece are read in order by one
+    task, so their numbers grow, however many pieces the task reads.
     """
-    # Spark writes a local file's scheme with one slash here and with three there
-    local = "^file:/+"
-    files = F.array(*[F.lit(re.sub(local, "", f)) for f in sorted(raw.inputFiles())]).cast("array<string>")
-    file = F.regexp_replace("_metadata.file_path", local, "")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.array_position(files, file) * F.lit(1 << 44) + F.col("_metadata.file_block_start") + row
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("piece"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def load_runners(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
     """The runner table: every known column present, one row per run (the last), empty if absent.
 
-    A CSV export has no batch numbers; its own order decides, by file position.
+    A CSV export has no batch numbers; its own order decides (``file_place``). All its rows are of batch 0, and a row's
+    position is that among the rows of its race in the export.
     """
     raw = _csv_or_none(spark, path) if csv else _parquet_or_none(spark, path)
     if raw is None:
         return empty(spark, RUNNERS + ", ingest_seq BIGINT, row_pos INT")
-    if "ingest_seq" not in raw.columns:
-        raw = raw.withColumn("ingest_seq", _file_order(raw))
-    if "row_pos" not in raw.columns:
-        raw = raw.withColumn("row_pos", F.lit(0))
+    given = set(raw.columns)
+    raw = raw.withColumn("_place", file_place())
+    if "ingest_seq" not in given:
+        raw = raw.withColumn("ingest_seq", F.lit(0))
+    if "row_pos" not in given:
+        raw = raw.withColumn("row_pos", F.lit(None))
     fitted = conform(raw, RUNNERS).withColumns(
         {"ingest_seq": F.col("ingest_seq").cast("bigint"), "row_pos": F.col("row_pos").cast("int")}
     )
-    return keep_last(fitted, ["run_id"])
+    last = keep_last(fitted, ["run_id"], ["ingest_seq", "row_pos", "_place"])
+    if "row_pos" not in given:
+        in_race = Window.partitionBy("race_id").orderBy("_place")
+        last = last.withColumn("row_pos", F.row_number().over(in_race) - 1)
+    return last.drop("_place")
 
 
 def load_ratings(spark: SparkSession, path: str, csv: bool = False) -> DataFrame:
-    """The second provider's ratings, or an empty table, which joins as all NULL."""
+    """The second provider's ratings, or an empty table, which joins as all NULL.
+
+    Where an export has no batch numbers, ``ingest_seq`` is a row's ``file_place``, which orders rows as a number would.
+    """
     raw = _csv_or_none(spark, path) if csv else _parquet_or_none(spark, path)
     if raw is None:
         return empty(spark, schemas.RATINGS + ", ingest_seq BIGINT, row_pos INT")
     if "ingest_seq" not in raw.columns:
-        raw = raw.withColumn("ingest_seq", _file_order(raw))
+        raw = raw.withColumn("ingest_seq", file_place())
     if "row_pos" not in raw.columns:
         raw = raw.withColumn("row_pos", F.lit(0))
     return conform(raw, schemas.RATINGS)

@@ -90,4 +90,4 @@ def test_store_overwrites_only_touched_partitions_of_a_table_it_reads(spark, tmp
     assert rows(table.select("p", "v")) == [(1, "a"), (2, "B")]
     store.append("d", df.drop("v"), ())
     store.append("d", df, ())
-    assert rows(store.read("d", merge=True).select("p", "v")) == [(1, "a"), (1, None), (2, "b"), (2, None)]
+    assert rows(store.read("d").select("p", "v")) == [(1, "a"), (1, None), (2, "b"), (2, None)]
