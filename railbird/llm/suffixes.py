@@ -126,7 +126,7 @@ def anchors(piece: Piece, width: int) -> tuple[np.ndarray, np.ndarray]:
         found = (smallest[inside[start : start + len(smallest)]] & low).astype(np.int64)
         found = found[np.flatnonzero(np.diff(found, prepend=-1))]
         places.append(found + start)
-        hashes.append(each[found])
+        hashes.append(mixed(each[found]))  # the smallest hashes are no even share of all; these are
     if not places:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=U)
     # slices overlap by a string less one byte, so they share anchors; places are in order otherwise

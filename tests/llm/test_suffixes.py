@@ -45,6 +45,12 @@ def test_every_string_has_its_anchor_wherever_it_is(monkeypatch):
         assert own[0] == hashes[whole.tolist().index(i + int(alone[0]) - 5)]
 
 
+def test_anchors_are_dealt_evenly():
+    _, hashes = suffixes.anchors(piece_of([cases.prose(5, 20_000).encode()]), 200)
+    shares = np.bincount((hashes >> np.uint64(61)).astype(int), minlength=8) / len(hashes)
+    assert len(hashes) > 1000 and shares.min() > 0.08 and shares.max() < 0.17
+
+
 @pytest.mark.parametrize("count", [1, 2, 3, 7, 16])
 def test_loser_tree(count):
     draw = random.Random(count)
