@@ -77,9 +77,8 @@ def array_mean(values: Column) -> Column:
     return total / F.nullif(F.size(values), F.lit(0))
 
 
-def array_stddev(values: Column) -> Column:
-    """Sample standard deviation; NULL below two values."""
-    mean = array_mean(values)
+def array_stddev(values: Column, mean: Column) -> Column:
+    """Sample standard deviation around the mean, which is worked out before; NULL below two values."""
     squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
     return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1)))
 

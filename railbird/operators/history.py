@@ -63,7 +63,7 @@ def _finish_mark(finish: Column) -> Column:
     )
 
 
-def _sectionals(run) -> dict[str, Column]:
+def _phases(run) -> dict[str, Column]:
     """Margin gained in each phase less the race's tempo in it; ``run`` maps a field to its column."""
 
     def field(name):
@@ -72,13 +72,60 @@ def _sectionals(run) -> dict[str, Column]:
     m800, m400, finish = field("margin800m"), field("margin400m"), field("marginFinish")
     early, mid, late = field("raceShapeEarly"), field("raceShapeMid"), field("raceShapeLate")
     return {
-        "early": half_even(-m800 - early, 2),
-        "mid": half_even((m800 - m400) - mid, 2),
-        "late": half_even((m400 - finish) - late, 2),
-        "total": half_even((m800 - finish) - (early + mid + late), 2),
+        "early": -m800 - early,
+        "mid": (m800 - m400) - mid,
+        "late": (m400 - finish) - late,
+        "total": (m800 - finish) - (early + mid + late),
     }
 
 
+def _sectionals(run: Column) -> Column:
+    return F.struct(*[c.alias(p) for p, c in _phases(lambda name: run[name]).items()])
+
+
+def _facts(run: Column, race_distance: Column, race_going: Column) -> Column:
+    """What the sums over all runs need of one."""
+    finish = run["positionFinish"]
+    return F.struct(
+        _near(run["distance"], race_distance).alias("near"),
+        _same_going(run["going"], race_going).alias("going"),
+        going_category(run["going"]).alias("cat"),
+        F.coalesce((finish == 1).cast("int"), F.lit(0)).alias("won"),
+        F.coalesce(finish.between(1, 3).cast("int"), F.lit(0)).alias("placed"),
+        run["wpr"].cast("double").alias("wpr"),
+    )
+
+
+# the sums over all runs, and what each begins with
+_SUMS: dict[str, int | float] = {
+    **dict.fromkeys(("near_n", "near_wins", "near_places", "going_n"), 0),
+    **dict.fromkeys(("near_sum", "going_sum"), 0.0),
+    **{f"{c}_{k}": 0 for c in GOING_CATEGORIES for k in ("starts", "wins", "places")},
+}
+
+
+def _added(sums: Column, fact: Column) -> Column:
+    """The sums with one run more."""
+
+    def plus(name: str, condition: Column, value: Column) -> Column:
+        return F.when(condition, sums[name] + value).otherwise(sums[name]).alias(name)
+
+    one, near, going = F.lit(1), fact["near"], fact["going"]
+    return F.struct(
+        plus("near_n", near, one),
+        plus("near_wins", near, fact["won"]),
+        plus("near_places", near, fact["placed"]),
+        plus("going_n", going, one),
+        plus("near_sum", near, fact["wpr"]),
+        plus("going_sum", going, fact["wpr"]),
+        *[
+            plus(f"{c}_{k}", fact["cat"] == c, value)
+            for c in GOING_CATEGORIES
+            for k, value in (("starts", one), ("wins", fact["won"]), ("places", fact["placed"]))
+        ],
+    )
+
+
 PHASES = ("early", "mid", "late", "total")
 
 
@@ -104,66 +151,67 @@ def form_features(
             lambda r: _usable(r["wpr"], r["isBarrierTrial"], r["date"].try_cast("date"), day),
         ),
     )
-    df = df.withColumn("_recent", F.slice(runs, 1, RECENT))
+    # each run is judged once, and one fold adds up what runs near the distance, on the going and of each category did
     df = df.withColumns(
         {
+            "_recent": F.slice(runs, 1, RECENT),
+            "_facts": F.transform(runs, lambda r: _facts(r, metres, surface)),
+        }
+    )
+    recent = F.col("_recent")
+    df = df.withColumns(
+        {
+            "_sums": F.aggregate("_facts", F.struct(*[F.lit(zero).alias(k) for k, zero in _SUMS.items()]), _added),
             "_wpr": F.transform(recent, lambda r: r["wpr"]),
-            "_near": F.filter(runs, lambda r: _near(r["distance"], metres)),
-            "_going": F.filter(runs, lambda r: _same_going(r["going"], surface)),
             "_blend": F.transform(
-                F.filter(recent, lambda r: r["margin800m"].isNotNull() & r["marginFinish"].isNotNull()),
-                lambda r: F.struct(*[c.alias(p) for p, c in _sectionals(lambda name: r[name]).items()]),
+                F.filter(recent, lambda r: r["margin800m"].isNotNull() & r["marginFinish"].isNotNull()), _sectionals
             ),
             "_weights": F.filter(F.transform(recent, lambda r: r["weightCarried"]), lambda w: w.isNotNull()),
-            "_categories": F.transform(
-                runs, lambda r: F.struct(going_category(r["going"]).alias("cat"), r["positionFinish"].alias("finish"))
-            ),
         }
     )
-    wpr, near = F.col("_wpr"), F.col("_near")
-
-    def mean_of(array: Column, field: str | None, digits: int) -> Column:
-        values = array if field is None else F.transform(array, lambda r: r[field].cast("double"))
-        return half_even(array_mean(F.filter(values, lambda v: v.isNotNull())), digits)
-
-    def count(array: Column, condition) -> Column:
-        return F.size(F.filter(array, condition))
+    wpr, sums = F.col("_wpr"), F.col("_sums")
 
-    def tally(cat: str) -> Column:
-        there = F.filter("_categories", lambda r: r["cat"] == cat)
-        return F.struct(
-            F.size(there).alias("starts"),
-            count(there, lambda r: r["finish"] == 1).alias("wins"),
-            count(there, lambda r: r["finish"].between(1, 3)).alias("places"),
-        )
+    def mean_of(field: str) -> Column:
+        return array_mean(F.filter(F.transform(recent, lambda r: r[field].cast("double")), lambda v: v.isNotNull()))
 
-    rest_of_three = F.slice(wpr, 2, 2)
+    # rounding reads its value many times, so values are worked out one step before
+    df = df.withColumns(
+        {
+            "_v_wpr_avg_last3": array_mean(F.slice(wpr, 1, 3)),
+            "_v_wpr_trend": F.when(n >= 2, F.get(wpr, 0) - array_mean(F.slice(wpr, 2, 2))),
+            "_mean": array_mean(wpr),
+            "_v_wpr_dist": sums["near_sum"] / F.nullif(sums["near_n"], F.lit(0)),
+            "_v_wpr_going": sums["going_sum"] / F.nullif(sums["going_n"], F.lit(0)),
+            "_v_avg_settled_pos": mean_of("positionSettled"),
+            "_v_avg_800m_pos": mean_of("position800m"),
+            "_v_avg_400m_pos": mean_of("position400m"),
+            "_blend": F.transform("_blend", lambda x: F.struct(*[half_even(x[k], 2).alias(k) for k in PHASES])),
+            "_v_weight_trend": F.when(
+                F.size("_weights") >= 3, F.get("_weights", 0) - array_mean(F.slice("_weights", 2, RECENT))
+            ),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_v_wpr_consistency": F.when(n >= 3, array_stddev(wpr, F.col("_mean"))),
+            **{f"_v_{p}_speed_score": array_mean(F.col("_blend")[p]) for p in PHASES},
+        }
+    )
+    places = {"wpr_avg_last3": 1, "wpr_trend": 1, "wpr_consistency": 1, "wpr_dist": 1, "wpr_going": 1, "avg_settled_pos": 1,
+              "avg_800m_pos": 1, "avg_400m_pos": 1, **{f"{p}_speed_score": 2 for p in PHASES}, "weight_trend": 1}
+    tallies = [
+        F.struct(F.lit(c), F.struct(*[sums[f"{c}_{k}"].alias(k) for k in ("starts", "wins", "places")])) for c in GOING_CATEGORIES
+    ]
+    at_distance = truthy(metres).isNotNull()
     out = {
+        **{name: half_even(f"_v_{name}", digits) for name, digits in places.items()},
         "wpr_last1": F.get(wpr, 0),
-        "wpr_avg_last3": half_even(array_mean(F.slice(wpr, 1, 3)), 1),
-        "wpr_trend": F.when(n >= 2, half_even(F.get(wpr, 0) - array_mean(rest_of_three), 1)),
-        "wpr_consistency": F.when(n >= 3, half_even(array_stddev(wpr), 1)),
         "runs_with_wpr": n,
-        "wpr_dist": mean_of(near, "wpr", 1),
-        "wpr_dist_n": F.size(near),
-        "wpr_going": mean_of(F.col("_going"), "wpr", 1),
-        "avg_settled_pos": mean_of(recent, "positionSettled", 1),
-        "avg_800m_pos": mean_of(recent, "position800m", 1),
-        "avg_400m_pos": mean_of(recent, "position400m", 1),
-        **{f"{p}_speed_score": mean_of(F.col("_blend"), p, 2) for p in PHASES},
-        "weight_trend": F.when(
-            F.size("_weights") >= 3,
-            half_even(F.get("_weights", 0) - array_mean(F.slice("_weights", 2, RECENT)), 1),
-        ),
-        "wins_at_dist": F.when(truthy(metres).isNotNull(), count(near, lambda r: r["positionFinish"] == 1)),
-        "starts_at_dist": F.when(truthy(metres).isNotNull(), F.size(near)),
-        "places_at_dist": count(near, lambda r: r["positionFinish"].between(1, 3)),
-        "going_breakdown": F.map_from_entries(
-            F.filter(
-                F.array(*[F.struct(F.lit(cat), tally(cat)) for cat in GOING_CATEGORIES]),
-                lambda entry: entry["col2"]["starts"] > 0,
-            )
-        ),
+        "wpr_dist_n": sums["near_n"],
+        "wins_at_dist": F.when(at_distance, sums["near_wins"]),
+        "starts_at_dist": F.when(at_distance, sums["near_n"]),
+        "places_at_dist": sums["near_places"],
+        "going_breakdown": F.map_from_entries(F.filter(F.array(*tallies), lambda entry: entry["col2"]["starts"] > 0)),
         "form_string": truthy(
             F.array_join(F.transform(F.slice(runs, 1, IN_STRING), lambda r: _finish_mark(r["positionFinish"])), "-"), ""
         ),
@@ -213,7 +261,8 @@ def run_features(
             _usable(F.col("wpr"), F.col("isBarrierTrial"), F.col("date").try_cast("date"), F.col("race_date"))
         )
         df = groups.numbers(df, {"_n": [F.col(c) if isinstance(c, str) else c for c in order]})
-        df = df.withColumns({f"_{p}": c for p, c in _sectionals(lambda name: F.col(name)).items()})
+        df = df.withColumns({f"_v_{p}": c for p, c in _phases(lambda name: F.col(name)).items()})
+        df = df.withColumns({f"_{p}": half_even(f"_v_{p}", 2) for p in PHASES})
         nth = F.col("_n")
         recent = nth <= RECENT
         wpr, finish = F.col("wpr"), F.col("positionFinish")

@@ -204,6 +204,40 @@ def test_newest_landing_counts(spark, tmp_path):
     assert flatten.detail_runners(detail).count() == 1
 
 
+def test_two_documents_of_a_race_in_one_file_give_one(spark, tmp_path):
+    from railbird.operators import flatten
+
+    def document(price):
+        return {"raceId": 1, "runners": [{"runId": 11, "fixedWinPrice": price}]}
+
+    other = {"raceId": 2, "runners": [{"runId": 21, "fixedWinPrice": "5.0"}]}
+    land(tmp_path, "detail", document("2.0"), other, document("3.0"))
+    (tmp_path / "detail" / "single.json").write_text(json.dumps({"raceId": 3, "runners": [{"runId": 31, "fixedWinPrice": "7.0"}]}))
+    (tmp_path / "detail" / "broken.json").write_text('{"raceId": 4, "runners": [')
+    detail = landing.read_feed(spark, str(tmp_path / "detail"), schemas.DETAIL)
+    assert rows(flatten.live_prices(detail)) == [("11", 3.0), ("21", 5.0), ("31", 7.0)]
+    assert flatten.detail_runners(detail).count() == 3
+    # nested columns are in no window
+    plan = flatten.detail_runners(detail)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join LeftSemi" in plan
+
+
+def test_exports_name_no_file_in_the_plan(spark, tmp_path):
+    from railbird.operators import merge
+
+    for folder, rank in (("a", 1), ("b", 2), ("c", 3)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f"ext_date,raceNo,runnerName,aiRank\n2024-05-01,1,Blue,9\n2024-05-01,1,Blue,{rank}\n")
+    side = merge.rating_side(landing.load_ratings(spark, str(tmp_path / "*"), csv=True))
+    assert rows(side.select("_horse", "ext_ai_rank")) == [("blue", 3)]
+    assert "x.csv" not in side._jdf.queryExecution().optimizedPlan().toString()
+    runners = [("a", 7), ("b", 8)]
+    for folder, barrier in runners:
+        (tmp_path / folder / "r.csv").write_text("run_id,race_id,barrier\n" + "".join(f"{i},1,{barrier}\n" for i in (3, 1, 2)))
+    got = landing.load_runners(spark, str(tmp_path / "*" / "r.csv"), csv=True)
+    assert [(r["run_id"], r["barrier"], r["ingest_seq"]) for r in got.orderBy("row_pos").collect()] == [("3", 8, 0), ("1", 8, 0), ("2", 8, 0)]
+
+
 def test_unusable_prices_do_not_count(spark):
     given = [("a", "r", "2024-04-06 12:00:00", 0.0), ("a", "r", "2024-04-06 12:01:00", 5.0), ("a", "r", "2024-04-06 12:02:00", None),
              ("a", "r", "2024-04-06 12:03:00", float("nan"))]
