@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ def half_even(c: ColumnOrName, digits: int) -> Column:
     the value split into a float and the rest, both products and the distance from one half are
     exact, and tell where ``rint`` took the wrong side.
     """
+    if isinstance(c, str) and re.fullmatch(r"[A-Za-z_]\w*", c):
+        return F.expr(half_even_sql(c, digits))
     x = as_column(c).cast("double")
     scale = F.lit(float(10**digits))
     nearest = F.rint(x * scale)
@@ -56,6 +60,15 @@ def half_even(c: ColumnOrName, digits: int) -> Column:
     return (nearest + step) / scale + F.lit(0.0)
 
 
+def half_even_sql(value: str, digits: int) -> str:
+    """``half_even`` as an expression over a short value, such as a column or a field; built by Spark in one go."""
+    x, scale = f"CAST({value} AS DOUBLE)", f"{10**digits}.0D"
+    high = f"CAST(CAST({value} AS FLOAT) AS DOUBLE)"
+    coarse, fine = f"({high} * {scale} - rint({x} * {scale}))", f"({x} - {high}) * {scale}"
+    step = f"CASE WHEN ({coarse} - 0.5D) + {fine} > 0 THEN 1.0D WHEN ({coarse} + 0.5D) + {fine} < 0 THEN -1.0D ELSE 0.0D END"
+    return f"(rint({x} * {scale}) + {step}) / {scale} + 0.0D"
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
@@ -72,17 +85,6 @@ def going_category(c: ColumnOrName) -> Column:
     return out
 
 
-def array_mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return total / F.nullif(F.size(values), F.lit(0))
-
-
-def array_stddev(values: Column, mean: Column) -> Column:
-    """Sample standard deviation around the mean, which is worked out before; NULL below two values."""
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1)))
-
-
 def start_instant(c: ColumnOrName, day: ColumnOrName | None = None) -> Column:
     """A start time as a UTC timestamp.
 

@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 
 from railbird.functions.scalars import (
     GOING_CATEGORIES,
-    array_mean,
-    array_stddev,
     as_column,
     first_truthy,
     going_category,
     half_even,
+    half_even_sql,
     is_true,
     truthy,
 )
@@ -79,51 +78,50 @@ def _phases(run) -> dict[str, Column]:
     }
 
 
-def _sectionals(run: Column) -> Column:
-    return F.struct(*[c.alias(p) for p, c in _phases(lambda name: run[name]).items()])
-
-
-def _facts(run: Column, race_distance: Column, race_going: Column) -> Column:
-    """What the sums over all runs need of one."""
-    finish = run["positionFinish"]
-    return F.struct(
-        _near(run["distance"], race_distance).alias("near"),
-        _same_going(run["going"], race_going).alias("going"),
-        going_category(run["going"]).alias("cat"),
-        F.coalesce((finish == 1).cast("int"), F.lit(0)).alias("won"),
-        F.coalesce(finish.between(1, 3).cast("int"), F.lit(0)).alias("placed"),
-        run["wpr"].cast("double").alias("wpr"),
-    )
+# the same over one element r of a form, as SQL: building thousands of columns one by one takes longer than the work on them
+_USABLE = (
+    "nullif(r.wpr, 0) IS NOT NULL AND NOT coalesce(r.isBarrierTrial, false) "
+    "AND coalesce(_day IS NULL OR try_cast(r.date AS DATE) < _day, false)"
+)
+_FACTS = {
+    "near": "coalesce(nullif(r.distance, 0) BETWEEN nullif(_metres, 0) * 0.9D AND nullif(_metres, 0) * 1.1D, false)",
+    "going": "coalesce(lower(nullif(r.going, '')) = lower(nullif(_surface, '')), false)",
+    "cat": "CASE " + " ".join(f"WHEN startswith(lower(r.going), '{c}') THEN '{c}'" for c in GOING_CATEGORIES) + " END",
+    "won": "coalesce(CAST(r.positionFinish = 1 AS INT), 0)",
+    "placed": "coalesce(CAST(r.positionFinish BETWEEN 1 AND 3 AS INT), 0)",
+    "wpr": "CAST(r.wpr AS DOUBLE)",
+}
+# sums s over all runs: what each begins with, and when and by how much one fact f adds to it
+_SUMS = {
+    "near_n": ("0", "f.near", "1"),
+    "near_wins": ("0", "f.near", "f.won"),
+    "near_places": ("0", "f.near", "f.placed"),
+    "near_sum": ("0.0D", "f.near", "f.wpr"),
+    "going_n": ("0", "f.going", "1"),
+    "going_sum": ("0.0D", "f.going", "f.wpr"),
+    **{
+        f"{c}_{k}": ("0", f"f.cat <=> '{c}'", value)
+        for c in GOING_CATEGORIES
+        for k, value in (("starts", "1"), ("wins", "f.won"), ("places", "f.placed"))
+    },
+}
+_FIELD = "coalesce(r.{}, 0.0D)"
+_M800, _M400, _FINISH = (_FIELD.format(c) for c in ("margin800m", "margin400m", "marginFinish"))
+_EARLY, _MID, _LATE = (_FIELD.format(c) for c in ("raceShapeEarly", "raceShapeMid", "raceShapeLate"))
+_BLEND = {
+    "early": f"-{_M800} - {_EARLY}",
+    "mid": f"({_M800} - {_M400}) - {_MID}",
+    "late": f"({_M400} - {_FINISH}) - {_LATE}",
+    "total": f"({_M800} - {_FINISH}) - ({_EARLY} + {_MID} + {_LATE})",
+}
 
 
-# the sums over all runs, and what each begins with
-_SUMS: dict[str, int | float] = {
-    **dict.fromkeys(("near_n", "near_wins", "near_places", "going_n"), 0),
-    **dict.fromkeys(("near_sum", "going_sum"), 0.0),
-    **{f"{c}_{k}": 0 for c in GOING_CATEGORIES for k in ("starts", "wins", "places")},
-}
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def _added(sums: Column, fact: Column) -> Column:
-    """The sums with one run more."""
-
-    def plus(name: str, condition: Column, value: Column) -> Column:
-        return F.when(condition, sums[name] + value).otherwise(sums[name]).alias(name)
-
-    one, near, going = F.lit(1), fact["near"], fact["going"]
-    return F.struct(
-        plus("near_n", near, one),
-        plus("near_wins", near, fact["won"]),
-        plus("near_places", near, fact["placed"]),
-        plus("going_n", going, one),
-        plus("near_sum", near, fact["wpr"]),
-        plus("going_sum", going, fact["wpr"]),
-        *[
-            plus(f"{c}_{k}", fact["cat"] == c, value)
-            for c in GOING_CATEGORIES
-            for k, value in (("starts", one), ("wins", fact["won"]), ("places", fact["placed"]))
-        ],
-    )
+def _mean(array: str) -> str:
+    return f"aggregate({array}, 0.0D, (a, v) -> a + v) / nullif(size({array}), 0)"
 
 
 PHASES = ("early", "mid", "late", "total")
@@ -138,93 +136,90 @@ def form_features(
     race_going: str | Column = "race_going",
 ) -> DataFrame:
     """Add the ``FEATURES`` of the nested form to each row."""
-    day, metres, surface = as_column(race_date), as_column(race_distance), as_column(race_going)
     sources = [form, *([peak] if peak else [])]
     kept = [c for c in df.columns if c not in sources]
-    runs, recent = F.col("_runs"), F.col("_recent")
-    n = F.size(runs)
-
-    df = df.withColumn(
-        "_runs",
-        F.filter(
-            F.coalesce(F.col(form), F.array()),
-            lambda r: _usable(r["wpr"], r["isBarrierTrial"], r["date"].try_cast("date"), day),
-        ),
-    )
+
+    def step(df: DataFrame, added: dict[str, str]) -> DataFrame:
+        return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in added.items()])
+
+    target = {"_day": as_column(race_date), "_metres": as_column(race_distance), "_surface": as_column(race_going)}
+    df = df.withColumns(target)
+    df = step(df, {"_runs": f"filter(coalesce(`{form}`, array()), r -> {_USABLE})"})
     # each run is judged once, and one fold adds up what runs near the distance, on the going and of each category did
-    df = df.withColumns(
+    df = step(
+        df,
         {
-            "_recent": F.slice(runs, 1, RECENT),
-            "_facts": F.transform(runs, lambda r: _facts(r, metres, surface)),
-        }
+            "_recent": f"slice(_runs, 1, {RECENT})",
+            "_facts": f"transform(_runs, r -> {_struct(_FACTS)})",
+        },
     )
-    recent = F.col("_recent")
-    df = df.withColumns(
+    zeros = _struct({k: zero for k, (zero, _, _) in _SUMS.items()})
+    added = _struct({k: f"IF({when}, s.{k} + {value}, s.{k})" for k, (_, when, value) in _SUMS.items()})
+    positions = {"settled": "positionSettled", "800m": "position800m", "400m": "position400m"}
+    df = step(
+        df,
         {
-            "_sums": F.aggregate("_facts", F.struct(*[F.lit(zero).alias(k) for k, zero in _SUMS.items()]), _added),
-            "_wpr": F.transform(recent, lambda r: r["wpr"]),
-            "_blend": F.transform(
-                F.filter(recent, lambda r: r["margin800m"].isNotNull() & r["marginFinish"].isNotNull()), _sectionals
-            ),
-            "_weights": F.filter(F.transform(recent, lambda r: r["weightCarried"]), lambda w: w.isNotNull()),
-        }
+            "_sums": f"aggregate(_facts, {zeros}, (s, f) -> {added})",
+            "_wpr": "transform(_recent, r -> CAST(r.wpr AS DOUBLE))",
+            "_phases": "transform(filter(_recent, r -> r.margin800m IS NOT NULL AND r.marginFinish IS NOT NULL), "
+            f"r -> {_struct(_BLEND)})",
+            "_weights": "filter(transform(_recent, r -> r.weightCarried), w -> w IS NOT NULL)",
+            **{
+                f"_at_{k}": f"filter(transform(_recent, r -> CAST(r.{field} AS DOUBLE)), v -> v IS NOT NULL)"
+                for k, field in positions.items()
+            },
+        },
     )
-    wpr, sums = F.col("_wpr"), F.col("_sums")
-
-    def mean_of(field: str) -> Column:
-        return array_mean(F.filter(F.transform(recent, lambda r: r[field].cast("double")), lambda v: v.isNotNull()))
-
     # rounding reads its value many times, so values are worked out one step before
-    df = df.withColumns(
+    df = step(
+        df,
         {
-            "_v_wpr_avg_last3": array_mean(F.slice(wpr, 1, 3)),
-            "_v_wpr_trend": F.when(n >= 2, F.get(wpr, 0) - array_mean(F.slice(wpr, 2, 2))),
-            "_mean": array_mean(wpr),
-            "_v_wpr_dist": sums["near_sum"] / F.nullif(sums["near_n"], F.lit(0)),
-            "_v_wpr_going": sums["going_sum"] / F.nullif(sums["going_n"], F.lit(0)),
-            "_v_avg_settled_pos": mean_of("positionSettled"),
-            "_v_avg_800m_pos": mean_of("position800m"),
-            "_v_avg_400m_pos": mean_of("position400m"),
-            "_blend": F.transform("_blend", lambda x: F.struct(*[half_even(x[k], 2).alias(k) for k in PHASES])),
-            "_v_weight_trend": F.when(
-                F.size("_weights") >= 3, F.get("_weights", 0) - array_mean(F.slice("_weights", 2, RECENT))
-            ),
-        }
+            "_older": "slice(_wpr, 2, 2)",
+            "_three": "slice(_wpr, 1, 3)",
+            "_lighter": f"slice(_weights, 2, {RECENT})",
+            "_blend": f"transform(_phases, x -> {_struct({k: half_even_sql(f'x.{k}', 2) for k in PHASES})})",
+            "_mean": _mean("_wpr"),
+        },
     )
-    df = df.withColumns(
+    df = step(
+        df,
         {
-            "_v_wpr_consistency": F.when(n >= 3, array_stddev(wpr, F.col("_mean"))),
-            **{f"_v_{p}_speed_score": array_mean(F.col("_blend")[p]) for p in PHASES},
-        }
+            "_v_wpr_avg_last3": _mean("_three"),
+            "_v_wpr_trend": f"IF(size(_runs) >= 2, get(_wpr, 0) - {_mean('_older')}, NULL)",
+            "_v_wpr_consistency": "IF(size(_runs) >= 3, "
+            "sqrt(aggregate(_wpr, 0.0D, (a, v) -> a + (v - _mean) * (v - _mean)) / (size(_wpr) - 1)), NULL)",
+            "_v_wpr_dist": "_sums.near_sum / nullif(_sums.near_n, 0)",
+            "_v_wpr_going": "_sums.going_sum / nullif(_sums.going_n, 0)",
+            **{f"_v_avg_{k}_pos": _mean(f"_at_{k}") for k in positions},
+            **{f"_v_{p}_speed_score": _mean(f"_blend.{p}") for p in PHASES},
+            "_v_weight_trend": f"IF(size(_weights) >= 3, get(_weights, 0) - {_mean('_lighter')}, NULL)",
+        },
     )
     places = {"wpr_avg_last3": 1, "wpr_trend": 1, "wpr_consistency": 1, "wpr_dist": 1, "wpr_going": 1, "avg_settled_pos": 1,
               "avg_800m_pos": 1, "avg_400m_pos": 1, **{f"{p}_speed_score": 2 for p in PHASES}, "weight_trend": 1}
-    tallies = [
-        F.struct(F.lit(c), F.struct(*[sums[f"{c}_{k}"].alias(k) for k in ("starts", "wins", "places")])) for c in GOING_CATEGORIES
-    ]
-    at_distance = truthy(metres).isNotNull()
+    tallies = ", ".join(
+        f"struct('{c}', {_struct({k: f'_sums.{c}_{k}' for k in ('starts', 'wins', 'places')})})" for c in GOING_CATEGORIES
+    )
+    mark = "CASE WHEN r.positionFinish IS NULL THEN '?' WHEN r.positionFinish = 0 OR r.positionFinish > 9 THEN 'x' "
+    mark += "ELSE CAST(r.positionFinish AS STRING) END"
     out = {
-        **{name: half_even(f"_v_{name}", digits) for name, digits in places.items()},
-        "wpr_last1": F.get(wpr, 0),
-        "runs_with_wpr": n,
-        "wpr_dist_n": sums["near_n"],
-        "wins_at_dist": F.when(at_distance, sums["near_wins"]),
-        "starts_at_dist": F.when(at_distance, sums["near_n"]),
-        "places_at_dist": sums["near_places"],
-        "going_breakdown": F.map_from_entries(F.filter(F.array(*tallies), lambda entry: entry["col2"]["starts"] > 0)),
-        "form_string": truthy(
-            F.array_join(F.transform(F.slice(runs, 1, IN_STRING), lambda r: _finish_mark(r["positionFinish"])), "-"), ""
-        ),
+        **{name: half_even_sql(f"_v_{name}", digits) for name, digits in places.items()},
+        "wpr_last1": "get(_recent, 0).wpr",
+        "runs_with_wpr": "size(_runs)",
+        "wpr_dist_n": "_sums.near_n",
+        "wins_at_dist": "IF(nullif(_metres, 0) IS NOT NULL, _sums.near_wins, NULL)",
+        "starts_at_dist": "IF(nullif(_metres, 0) IS NOT NULL, _sums.near_n, NULL)",
+        "places_at_dist": "_sums.near_places",
+        "going_breakdown": f"map_from_entries(filter(array({tallies}), e -> e.col2.starts > 0))",
+        "form_string": f"nullif(array_join(transform(slice(_runs, 1, {IN_STRING}), r -> {mark}), '-'), '')",
     }
     if peak is None:
-        out["wpr_peak_rank_1yr"] = F.lit(None).cast("int")
+        out["wpr_peak_rank_1yr"] = "CAST(NULL AS INT)"
     else:
         df = df.withColumn("_peak", peak_form_number(F.col(peak)))
-        out["wpr_peak_rank_1yr"] = F.get(
-            F.filter(runs, lambda r: r["formNumber"] == F.col("_peak")), 0
-        )["positionFinish"]
+        out["wpr_peak_rank_1yr"] = "get(filter(_runs, r -> r.formNumber = _peak), 0).positionFinish"
     # a feature the runner table already has is replaced
-    return df.select(*[c for c in kept if c not in out], *[out[name].alias(name) for name in FEATURES])
+    return df.select(*[c for c in kept if c not in out], *[F.expr(f"{out[name]} AS {name}") for name in FEATURES])
 
 
 def peak_form_number(peaks: Column) -> Column:
