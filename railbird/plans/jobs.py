@@ -21,6 +21,7 @@ from railbird.sources.store import NULL_PARTITION, Store, among
 
 RUNNERS = f"{schemas.RUNNERS}, {schemas.RUNNER_EXTRAS}"
 KEY = ["race_id"]
+TASKS_A_DAY = 2  # that write what is published of a day
 
 
 @dataclass(frozen=True)
@@ -203,20 +204,22 @@ def publish(
     if earlier is not None:
         earlier = earlier.where(F.col("local_date") == F.lit(today))
         told = attach(earlier, runs, ["run_id"], "left_anti").unionByName(told)
-    store.overwrite_partitions("day_prices", told, "local_date", instead_of=earlier)
+    store.put_partitions("day_prices", told, "local_date", instead_of=earlier)
     records = per_group(runners, KEY, lambda df, g: payload.race_payload(df, g, spec, tie), runners.select(*KEY), counted=counted)
-    return _republish(store, "races", records, runners, days, payload.RACE_ORDER)
+    _republish(store, "races", records, runners, days, payload.RACE_ORDER)
+    return store.read("races")
 
 
 def _republish(
     store: Store, name: str, fresh: DataFrame, races: DataFrame, days: Sequence[dt.date | None] | None, order: Sequence[str]
-) -> DataFrame:
+) -> None:
     """Put fresh rows in the place of those of the given races, on some days of a table."""
     earlier = store.latest(name)
     if earlier is not None:
         earlier = _on(earlier, days)
         fresh = tables.remove_evaluated(earlier, races).unionByName(fresh)
-    return store.overwrite_partitions(name, fresh, "date", instead_of=earlier, order=order)
+    tasks = None if days is None else TASKS_A_DAY * max(1, len(days))
+    store.put_partitions(name, fresh, "date", instead_of=earlier, order=order, tasks=tasks)
 
 
 def published_days(store: Store) -> list[str]:
@@ -251,7 +254,7 @@ def refresh(
     if dry_run or not days:
         return stats
     stats = _held(stats)
-    store.overwrite_partitions("runners", merge.apply_prices(touched, updates), "date")
+    store.put_partitions("runners", merge.apply_prices(touched, updates), "date")
     runners = store.read("runners", RUNNERS)
     record_prices(store, runners, as_of)
     # prices of other days did not move, so their picks and records stay
@@ -272,7 +275,7 @@ def cull_prices(store: Store, as_of: dt.datetime) -> DataFrame:
     edge = store.read("prices", ddl).where(F.col(by) == F.lit(limit.date()))
     if not edge.where(F.col("snapshot_time") < F.lit(limit)).isEmpty():
         recent = tables.retain(edge, "snapshot_time", as_of, prices.KEEP_DAYS)
-        store.overwrite_partitions("prices", recent, by, instead_of=edge)
+        store.put_partitions("prices", recent, by, instead_of=edge)
     return store.read("prices", ddl)
 
 

@@ -155,7 +155,7 @@ def to_hours(
         days = [r["day"] for r in fresh.select("day").distinct().collect()]
         old = table.read(name, HOURS).where(F.col("day").isin(days))
         kept = attach(old, fresh.select("run_id", "hour"), ["run_id", "hour"], "left_anti")
-        table.overwrite_partitions(name, kept.unionByName(fresh), "day")
+        table.put_partitions(name, kept.unionByName(fresh), "day")
 
     return _start(hours, checkpoint, mode="update", foreach=apply)
 
