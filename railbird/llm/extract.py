@@ -13,6 +13,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +54,7 @@ _TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)>""",
     re.S,
 )
+_COMMENT = re.compile(r"<!--.*", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _LEADING = re.compile(r"[a-z0-9]+")
 ASIDE, MARKED = 1, 2
@@ -86,21 +89,25 @@ class Page:
         self.links = [0]  # links in the element itself, not below
         self.pieces: list[tuple[int, str, bool]] = []  # element, text, whether in a link
         self.open: list[tuple[str, int]] = [("html", 0)]  # all open elements, inline ones with the block they are in
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag, where in the list above; that of html is left out
+        self.blocks: list[int] = []  # the places of those that are not inline
         self.anchors = 0
         self._read(source)
         self._drop_marked()
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
+        last = source.rfind(">")
         while at < n:
-            token = _TOKEN.search(source, at)
+            # where no tag can end any more, only a comment is markup
+            token = (_TOKEN if at <= last else _COMMENT).search(source, at)
             stop = token.start() if token else n
             if stop > at:
                 self._text(source[at:stop])
             if not token:
                 break
             at = token.end()
-            tag = token["tag"]
+            tag = token["tag"] if token.re is _TOKEN else None
             if not tag:
                 continue
             tag = tag.lower()
@@ -135,13 +142,13 @@ class Page:
             if tag in ("br", "hr"):
                 self._gap()
             return
-        block, in_article = self._block(), any(t in ("article", "main") for t, _ in self.open)
+        block, in_article = self._block(), bool(self.places["article"] or self.places["main"])
         aside = _aside(tag, attrs, in_article)
         if tag in _INLINE and not aside:
             if tag == "a":
                 self.anchors += 1
                 self.links[block] += 1
-            self.open.append((tag, block))
+            self._push(tag, block)
             return
         if tag not in _INLINE:
             self._gap()
@@ -150,32 +157,40 @@ class Page:
         self.dropped.append(aside == ASIDE or self.dropped[block])
         self.marked.append(aside == MARKED)
         self.links.append(0)
-        self.open.append((tag, len(self.tags) - 1))
+        self._push(tag, len(self.tags) - 1)
+
+    def _push(self, tag: str, block: int) -> None:
+        self.places[tag].append(len(self.open))
+        if tag not in _INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, block))
+
+    def _place(self, tag: str) -> int:
+        """Where the innermost open element of a tag is, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
 
     def _end_open(self, tag: str, scope: tuple[str, ...]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            kind = self.open[i][0]
-            if kind == tag:
-                self._cut(i)
-                return
-            if kind in scope:
-                return
+        place = self._place(tag)
+        if place and all(place > self._place(kind) for kind in scope):
+            self._cut(place)
 
     def _close(self, tag: str) -> None:
-        inline = tag in _INLINE
-        for i in range(len(self.open) - 1, 0, -1):
-            kind = self.open[i][0]
-            if kind == tag:
-                self._cut(i)
-                return
-            if inline and kind not in _INLINE:
-                return  # an inline end does not close blocks
-
-    def _cut(self, i: int) -> None:
-        gap = any(t not in _INLINE for t, _ in self.open[i:])
-        self.anchors -= sum(t == "a" for t, _ in self.open[i:])
-        self.anchors = max(0, self.anchors)
-        del self.open[i:]
+        place = self._place(tag)
+        # an inline end does not close blocks
+        if place and not (tag in _INLINE and self.blocks and self.blocks[-1] > place):
+            self._cut(place)
+
+    def _cut(self, place: int) -> None:
+        gap = bool(self.blocks) and self.blocks[-1] >= place
+        anchors = 0
+        while len(self.open) > place:
+            tag, _ = self.open.pop()
+            self.places[tag].pop()
+            anchors += tag == "a"
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+        self.anchors = max(0, self.anchors - anchors)
         if gap:
             self._gap()
 
@@ -238,7 +253,6 @@ class Page:
     def _content(
         self, shown: list[int], density: dict, sums: dict, last: list[int], chars: list[int], linked: list[int]
     ) -> list[bool]:
-        content = [False] * len(self.tags)
         best = max(shown, key=lambda i: (sums[i], density[i], chars[i], i))
         path, i = [best], best
         while i:
@@ -263,11 +277,13 @@ class Page:
                     roots.append(i)
             # titles before the content, which are too short to be dense
             roots += [i for i in shown if self.tags[i] == "h1" and i < best]
-        for root in roots:
-            content[root : last[root] + 1] = [True] * (last[root] + 1 - root)
         if not sums[best]:  # no blocks at all
-            content = [True] * len(content)
-        return content
+            return [True] * len(self.tags)
+        edges = [0] * (len(self.tags) + 1)
+        for root in roots:
+            edges[root] += 1
+            edges[last[root] + 1] -= 1
+        return [depth > 0 for depth in accumulate(edges[:-1])]
 
 
 def composite(chars: int, linked: int, tags: int, links: int, all_chars: int, all_linked: int) -> float:

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -122,3 +123,15 @@ def test_odd_rows(spark):
     got = sorted([(r["page_id"], r["n_chars"]) for r in extract.main_texts(pages).collect()], key=repr)
     assert got == sorted([(1, 0), (1, 0), (2, 0), (4, 200_000), (None, len("Title " + " ".join(PARAGRAPHS)))], key=repr)
     assert extract.main_texts(pages.where("page_id > 9")).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["<a ", '<b" ', "<div>", "<span>x", "<p>x", "<li><a href=x>y", "<!-- ", "<div>x</b>", "<script>", "</div>", "<article>x"])
+def test_a_megabyte_of_unclosed_markup(shape):
+    page = "<body><div><p>" + "A sentence of the article. " * 20 + "</p></div>" + shape * ((1 << 20) // len(shape))
+    began = time.perf_counter()
+    text = extract.main_text(page)
+    # a tenth of it would take a hundredth, were it quadratic
+    assert time.perf_counter() - began < 20 and isinstance(text, str)
+    small = time.perf_counter()
+    extract.main_text(page[: len(page) // 8])
+    assert time.perf_counter() - began < 40 * (time.perf_counter() - small) + 5
