@@ -111,7 +111,11 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``stats``, the statistics of each text (a null is an empty text)."""
+    """Add ``stats``, the statistics of each text.
+
+    A null is an empty text, of which all statistics are finite; repeated rows get the same ones, no rows give none, and a
+    column named ``stats`` is replaced.
+    """
 
     def work(batch: pa.RecordBatch) -> list:
         return [pa.array([statistics(x) for x in texts(batch.column(text))], pa.list_(pa.float64()))]
@@ -161,7 +165,11 @@ def isotonic(weights: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame) -> Model:
-    """A model from rows of ``stats`` and ``label`` (0 or 1). Without rows, every score is a half."""
+    """A model from rows of ``stats`` and ``label`` (0 or 1).
+
+    Without rows, every score is a half. Repeated rows weigh as often as they are there; neither column may be null
+    (``training_rows`` leaves out null labels); other columns are not read.
+    """
     value = [F.element_at("stats", i + 1) for i in range(N_STATS)]
     moments = train.agg(
         F.count("*").alias("n"),
@@ -204,7 +212,11 @@ def score(with_stats: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 
 def score_texts(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
-    """Add ``score`` and ``predicted`` to documents, from their texts."""
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on, else 0) to documents, from their whole texts.
+
+    Null and empty texts have the score of an empty text, equal texts equal scores. No rows give none; columns named
+    ``score`` or ``predicted`` are replaced, all others stay.
+    """
 
     def stats(batch: pa.RecordBatch) -> np.ndarray:
         return np.array([statistics(x) for x in texts(batch.column(text))]).reshape(-1, N_STATS)

@@ -175,8 +175,9 @@ def edited(text: str, following: str) -> str:
 def compare_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint each document and its edited text (see ``edited``), and compare both with it and with the next one.
 
-    Returns the id and the columns of ``EDITED``. Nulls are empty texts; equal texts get equal fingerprints. Texts are
-    shuffled once, by range of ids.
+    Returns the id and the columns of ``EDITED``. Nulls are empty texts; equal texts get equal fingerprints. Rows of one id
+    follow each other by a hash of their texts, a null id comes first, and a single row is followed by itself; no rows give
+    none. Other columns are left out. Texts are shuffled once, by range of ids.
     """
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
