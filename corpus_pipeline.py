@@ -43,7 +43,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier does not reject, learned from the labels of three quarters of them."""
+    """The documents that the quality classifier does not reject, learned from the labels of three quarters of them.
+
+    Null and empty texts are judged as an empty text; a null id counts as an empty one when rows are dealt to training.
+    Without labels every score is a half, below the threshold, so nothing stays. Repeated rows share their fate.
+    """
     learned = docs.where(quality.remainder("doc_id", 4) != 2).select("doc_id", "text")
     stats = quality.with_statistics(learned).select("doc_id", "stats")
     model = quality.fit(durable(quality.training_rows(stats, table(spark, sf_dir, "labels"), "quality")))
@@ -52,7 +56,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links of 80 percent or more of five-word shingles: that of the smallest id."""
+    """One document of each component of links of 80 percent or more of five-word shingles: that of the smallest id.
+
+    Rows without words are linked with nothing and stay; of repeated rows one stays, also of those without an id.
+    """
     marked = numbered(docs)
     found = neardup.near_duplicates(marked.select(F.struct("doc_id", "_row").alias("_id"), "text"), doc_id="_id")
     gone = durable(found.where(~F.col("kept")).select(F.col("_id._row").alias("_row")))
@@ -60,14 +67,17 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of which less than a twentieth is benchmark text."""
+    """The documents of which less than a twentieth is benchmark text; null and empty texts stay, as all do without items."""
     apart, back = set_apart(docs, "text")
     found = wumanber.find_passages(apart, table(spark, sf_dir, "benchmark"))
     return back(found.where(~wumanber.contaminated()))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken as often as the weights of their domain, language and source ask for."""
+    """Documents taken as often as the weights of their domain, language and source ask for.
+
+    Null languages and sources are leaves ``(none)``; documents without tokens cost nothing. Repeated rows are dealt one by one.
+    """
     apart, back = set_apart(docs, "doc_id", "text", "lang", "source")
     levels = apart.withColumn("domain", F.expr(DOMAIN))
     taken = mixture.mix(levels, ("domain", "lang", "source"), TOKENS, WEIGHTS, SHARE, EPOCHS, SEED)
@@ -75,7 +85,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``shard`` and ``slot``: contiguous shards, by id, of nearly equal bytes."""
+    """The documents with ``shard`` and ``slot``: contiguous shards, by id, of nearly equal bytes.
+
+    A null text has no bytes but the eight of its row; null ids come first; repeated rows have a slot each; no rows give none.
+    Columns named ``shard`` or ``slot`` are replaced.
+    """
     marked = numbered(docs.drop("shard", "slot"))
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
     sized = marked.select("doc_id", "_row", size.cast("long").alias("_size"))
