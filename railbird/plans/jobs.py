@@ -279,6 +279,21 @@ def cull_prices(store: Store, as_of: dt.datetime) -> DataFrame:
     return store.read("prices", ddl)
 
 
+# what the jobs write
+TABLES = (
+    "runners", "prices", "picks", "races", "race_picks", "models", "day_prices", "ext_meetings", "ext_runners", "ext_ratings",
+    "ext_sectionals",
+)
+
+
+def clean(store: Store, as_of: dt.datetime, keep: int = 10, names: Sequence[str] = TABLES) -> dict[str, int]:
+    """Remove what only snapshots before the last ``keep`` of each table consist of; how many folders went, by table.
+
+    A daily job that refreshes follow every five minutes is to keep as many as a reader may lag behind.
+    """
+    return {name: store.vacuum(name, as_of, keep) for name in names}
+
+
 @dataclass(frozen=True)
 class ProviderFeeds:
     """The landed feeds of the second provider."""
