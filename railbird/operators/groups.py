@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 MAX_ROWS_CONF = "spark.railbird.maxGroupRows"
 LOCAL_DIR_CONF = "spark.railbird.localCheckpointDir"  # in local mode, where spark.checkpoint.dir is unset
 DEFAULT_MAX_ROWS = 2_000_000
+TASK_ROWS = 250_000  # so that a dozen entries of each row are sorted in a task's memory
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -166,6 +167,18 @@ class Spread:
 Groups = InTask | Spread
 
 
+def together(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` with the rows of a group in one partition, and about ``TASK_ROWS`` of so many rows in each.
+
+    Tables too small for that many partitions have as many as Spark makes. Else the number is fixed, as Spark would join
+    partitions by their bytes in the shuffle, a fraction of what sorts of rows and of their entries take in memory.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(tasks, *keys)
+    return df.repartition(*keys)
+
+
 def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railbird.operators.groups import Groups, per_group
+from railbird.operators.groups import Groups, InTask, per_group
 from railbird.plans import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +34,12 @@ def over_races(spark: SparkSession, sf_dir: str, work: Callable[[DataFrame, Grou
     the key column alone.
     """
     lines = star.lines(spark, sf_dir)
+    # told by the ends of the files
+    rows = lines.count()
     return per_group(
         lines,
         ["race_id"],
-        lambda some, groups: work(star.runners_of(spark, sf_dir, some), groups),
+        lambda some, groups: work(star.runners_of(spark, sf_dir, some, rows if isinstance(groups, InTask) else None), groups),
         probe=lines.select("race_id"),
     )
 

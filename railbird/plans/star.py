@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railbird.operators.groups import together
+
 # Position of a line within its order; the three together are unique there.
 TIE = ("ln", "pk", "sk")
 
@@ -162,15 +164,19 @@ def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runners_of(spark, sf_dir, lines(spark, sf_dir))
 
 
-def runners_of(spark: SparkSession, sf_dir: str, some: DataFrame) -> DataFrame:
+def runners_of(spark: SparkSession, sf_dir: str, some: DataFrame, rows: int | None = None) -> DataFrame:
     """Lines with their order's and part's columns, each worked out on its own side of the join.
 
-    Orders come last and by the race's own key, so that what ranks within races finds them together already.
+    Orders come last and by the race's own key, so that what ranks within races finds them together already. Where there are
+    at most ``rows`` lines, none of a race too large for a task, a race's runners lie in one partition of a bounded size.
     """
     entered = some.select(*columns(OF_LINE))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", *columns(OF_ORDER))
     parts = table(spark, sf_dir, "part").select("p_partkey", *columns(OF_PART))
-    joined = entered.join(parts, F.col("p_partkey") == F.col("pk")).join(orders, F.col("o_orderkey") == F.col("race_id"))
+    named = entered.join(parts, F.col("p_partkey") == F.col("pk"))
+    if rows is not None:
+        named = together(named, ["race_id"], rows)
+    joined = named.join(orders, F.col("o_orderkey") == F.col("race_id"))
     return joined.select(*RUNNER)
 
 

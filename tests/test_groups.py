@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from railbird.operators import payload, race, ranks, rules, score
+from railbird.operators import groups, payload, race, ranks, rules, score
 from railbird.operators.groups import InTask, Spread, oversized, per_group
 from railbird.operators.ranks import ANCHORS, SIGNALS, Signal
 from railbird.plans import race_queries, star
@@ -160,3 +160,42 @@ def test_records_have_one_shape_at_every_size(runners, name, max_rows):
     plain = text(per_group(some, ["race_id"], works[name]))
     assert text(per_group(some, ["race_id"], works[name], max_rows=max_rows)) == plain
     assert any('"part":1' in line for line in plain) or name == "picks_by_race"
+
+
+def test_together_bounds_the_rows_of_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(groups, "TASK_ROWS", 50)
+    df = spark.range(1000).select((F.col("id") % 250).alias("race_id"), "id")
+    dealt = groups.together(df, ["race_id"], 1000).withColumn("_p", F.spark_partition_id())
+    found = dealt.groupBy("race_id").agg(F.count_distinct("_p").alias("parts"), F.count("*").alias("n")).collect()
+    assert {(r["parts"], r["n"]) for r in found} == {(1, 4)}
+    assert dealt.rdd.getNumPartitions() == 20
+    # few rows: as many partitions as Spark makes
+    assert groups.together(df, ["race_id"], 100).rdd.getNumPartitions() <= 4
+
+
+def test_runners_of_races_lie_in_bounded_partitions_and_leaders_need_no_shuffle(spark, tmp_path, monkeypatch):
+    from railbird.operators.ranks import SIGNALS, leaders
+    from railbird.plans import star
+    from railbird.plans.catalog import over_races
+
+    monkeypatch.setattr(groups, "TASK_ROWS", 20)
+    spark.range(300).selectExpr(
+        "id div 3 AS l_orderkey", "id % 7 AS l_partkey", "id % 5 AS l_suppkey", "CAST(id % 3 AS INT) AS l_linenumber",
+        "CAST(id % 50 + 1 AS DOUBLE) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice", "0.05D AS l_discount", "0.02D AS l_tax",
+        "'A' AS l_returnflag", "'F' AS l_linestatus", "TIMESTAMP '1996-01-01' AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "9.0D AS o_totalprice", "TIMESTAMP '1996-01-01' AS o_orderdate",
+        "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(7).selectExpr(
+        "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id AS INT) AS p_size", "1.0D AS p_retailprice"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    sized = over_races(spark, str(tmp_path), lambda df, g: df.withColumn("_p", F.spark_partition_id()))
+    assert sized.rdd.getNumPartitions() == 15
+    assert {r["n"] for r in sized.groupBy("race_id").agg(F.count_distinct("_p").alias("n")).collect()} == {1}
+    top = over_races(spark, str(tmp_path), lambda df, g: leaders(df, SIGNALS, tie=star.TIE))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    # the runners, and at most the other sides of the joins; the signals' entries are ranked where the race lies
+    assert plan.split("Generate")[0].count("Exchange") == 0
+    assert {r["count"] for r in top.where("place = 1").groupBy("sig").count().collect()} == {100}
