@@ -189,7 +189,9 @@ def anchor_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_runners(LONG_SQL, PLACED_SQL, select="SELECT race_id, run_id, sig, place FROM placed WHERE place <= 5"),
 )
 def topk_per_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks.leaders(runners(spark, sf_dir), SIGNALS, tie=TIE).select("race_id", "run_id", "sig", "place")
+    return over_races(
+        spark, sf_dir, lambda df, g: ranks.leaders(df, SIGNALS, tie=TIE).select("race_id", "run_id", "sig", "place")
+    )
 
 
 RANKINGS_SQL = """
