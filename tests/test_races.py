@@ -156,3 +156,15 @@ def test_combo_path_needs_trust(spark):
 def test_skip_nulls(spark):
     a, _ = scored(spark, {"rating": 2.0}, {"rating": 1.0}, skip_nulls=True)
     assert a["cs"] == round(2.0 / 2.8, 4) and a["csc"] is None and a["csg"] == {"rating": 1.0}
+
+
+def test_sorts_for_a_record_move_no_columns_of_the_runner(spark):
+    from railbird.operators import payload, race
+    from railbird.operators.groups import InTask
+    from railbird.plans import race_queries, star
+
+    runners = race_queries._with_nested(star.runners(spark, "/root/testdata/sf0.001"))
+    records = payload.race_payload(race.first_starter(runners, InTask(["race_id"])), InTask(["race_id"]), tie=star.TIE)
+    plan = records._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scored = [line for line in plan if "cs_path#" in line and "Window" in "".join(plan[plan.index(line) :])]
+    assert scored and not [line for line in scored if "jockey#" in line or "trainer_rating#" in line]
