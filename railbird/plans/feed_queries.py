@@ -14,8 +14,11 @@ from railbird.sources import landing, schemas
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str, body: str, *keep: str) -> DataFrame:
-    """One JSON document per row of a table."""
-    rows = star.table(spark, sf_dir, table)
+    """One JSON document per row of a table.
+
+    Rows are dealt to all tasks, as a row of a few bytes in its file becomes a document of kilobytes, that takes long to parse.
+    """
+    rows = star.table(spark, sf_dir, table).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.select(*[F.expr(k) for k in keep], F.expr(f"to_json({body})").alias("value"))
 
 

@@ -91,3 +91,12 @@ def test_store_overwrites_only_touched_partitions_of_a_table_it_reads(spark, tmp
     store.append("d", df.drop("v"), ())
     store.append("d", df, ())
     assert rows(store.read("d").select("p", "v")) == [(1, "a"), (1, None), (2, "b"), (2, None)]
+
+
+def test_documents_of_a_file_in_one_piece_are_dealt_to_all_tasks(spark, tmp_path):
+    from railbird.plans import feed_queries
+
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id % 9 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    docs = feed_queries.documents(spark, str(tmp_path), "part", "named_struct('k', p_partkey)", "p_size AS n")
+    assert docs.rdd.getNumPartitions() == 4
+    assert sorted((r["n"], r["value"]) for r in docs.collect()) == sorted((i % 9, f'{{"k":{i}}}') for i in range(40))
