@@ -49,8 +49,12 @@ def read_feed(spark: SparkSession, path: str, ddl: str, names: Mapping[str, str]
 
 
 def parse_feed(df: DataFrame, text: str, ddl: str) -> DataFrame:
-    """A text column of JSON records as columns; other columns stay."""
-    parsed = df.withColumn("_parsed", F.from_json(F.col(text), struct_type(ddl)))
+    """A text column of JSON records as columns; other columns stay.
+
+    The record is exploded from an array of its own: else Spark would push a filter on what is in it below the parsing, where the
+    text is made and parsed once more.
+    """
+    parsed = df.select(*[c for c in df.columns if c != text], F.explode(F.array(F.from_json(F.col(text), struct_type(ddl)))).alias("_parsed"))
     return parsed.select(*[c for c in df.columns if c != text], "_parsed.*")
 
 
