@@ -100,3 +100,14 @@ def test_documents_of_a_file_in_one_piece_are_dealt_to_all_tasks(spark, tmp_path
     docs = feed_queries.documents(spark, str(tmp_path), "part", "named_struct('k', p_partkey)", "p_size AS n")
     assert docs.rdd.getNumPartitions() == 4
     assert sorted((r["n"], r["value"]) for r in docs.collect()) == sorted((i % 9, f'{{"k":{i}}}') for i in range(40))
+
+
+def test_a_filter_on_a_document_does_not_parse_it_again(spark):
+    from railbird.sources import landing
+
+    docs = spark.range(3).selectExpr("to_json(named_struct('raceId', id, 'runners', array(id, id + 1))) AS value")
+    feed = landing.parse_feed(docs, "value", "raceId BIGINT, runners ARRAY<BIGINT>")
+    found = feed.select("raceId", F.explode("runners").alias("r")).where("raceId > 0")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert rows(found) == [(1, 1), (1, 2), (2, 2), (2, 3)]
