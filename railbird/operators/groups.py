@@ -168,15 +168,15 @@ Groups = InTask | Spread
 
 
 def together(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """``df`` with the rows of a group in one partition, and about ``TASK_ROWS`` of so many rows in each.
+    """``df`` with the rows of a group in one partition, and at most about ``TASK_ROWS`` of so many rows in each.
 
-    Tables too small for that many partitions have as many as Spark makes. Else the number is fixed, as Spark would join
+    Tables of no more such partitions than there are cores stay as they are. Else the number is fixed, as Spark would join
     partitions by their bytes in the shuffle, a fraction of what sorts of rows and of their entries take in memory.
     """
-    tasks = -(-rows // TASK_ROWS)
-    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return df.repartition(tasks, *keys)
-    return df.repartition(*keys)
+    spark, tasks = df.sparkSession, -(-rows // TASK_ROWS)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def max_group_rows(spark: SparkSession) -> int:
