@@ -6,8 +6,8 @@ import math
 from pyspark.sql import functions as F
 
 from conftest import rows
-from railbird.operators import race, rules, score
-from railbird.operators.groups import InTask
+from railbird.operators import payload, race, rules, score
+from railbird.operators.groups import InTask, Spread
 from railbird.operators.ranks import Signal, bottom_ranks, percentile
 from railbird.plans.jobs import RUNNERS
 from railbird.sources.schemas import conform, struct_type
@@ -168,3 +168,22 @@ def test_sorts_for_a_record_move_no_columns_of_the_runner(spark):
     plan = records._jdf.queryExecution().optimizedPlan().toString().splitlines()
     scored = [line for line in plan if "cs_path#" in line and "Window" in "".join(plan[plan.index(line) :])]
     assert scored and not [line for line in scored if "jockey#" in line or "trainer_rating#" in line]
+
+
+def _field(spark):
+    given = [
+        {"race_id": f"r{i % 3}", "wpr_nett": float(i % 4), "rating": None if i % 5 == 0 else float(i * 7 % 6), "speed_rating": float(i % 3) * 8,
+         "wpr_consistency": float(i % 2), "tab_number": None if i == 4 else i * 5 % 9, "finish_position": i if i % 3 else None, "horse": f"h{i}",
+         "runs_with_wpr": i % 6, "avg_settled_pos": float(i % 9), "prize_money": 5.0 * i}
+        for i in range(24)
+    ]
+    return runners(spark, *given, {"race_id": "none", "horse": "alone"})
+
+
+def test_compact_records_take_leaders_from_their_lists(spark):
+    df = race.race_context(_field(spark), G)
+    plain = payload.compact_races(df, G, max_runners=3)
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    spread = payload.compact_races(df, Spread(["race_id"]), max_runners=3)
+    assert plain.columns == spread.columns and rows(plain, "rid", "part") == rows(spread, "rid", "part")
+    assert {(r["rid"], r["part"]) for r in plain.collect()} == {(r, p) for r in ("r1", "r2") for p in (0, 1, 2)}
