@@ -187,3 +187,12 @@ def test_compact_records_take_leaders_from_their_lists(spark):
     spread = payload.compact_races(df, Spread(["race_id"]), max_runners=3)
     assert plain.columns == spread.columns and rows(plain, "rid", "part") == rows(spread, "rid", "part")
     assert {(r["rid"], r["part"]) for r in plain.collect()} == {(r, p) for r in ("r1", "r2") for p in (0, 1, 2)}
+
+
+def test_selections_rank_runners_once(spark):
+    df = race.race_context(_field(spark), G)
+    plain = race.selections(df, G, max_runners=3)
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    spread = race.selections(df, Spread(["race_id"]), max_runners=3)
+    assert plain.columns == spread.columns and rows(plain, "race_id", "part") == rows(spread, "race_id", "part")
+    assert {(r["race_id"], r["part"]) for r in plain.collect()} == {(f"r{r}", p) for r in (0, 1, 2) for p in (0, 1, 2)}
