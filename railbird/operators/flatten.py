@@ -20,6 +20,15 @@ LISTED_PRIZE = 1000
 BET_PRIZE = 20000
 
 
+def dealt(other: DataFrame) -> DataFrame:
+    """The other side of a join with parsed documents: both sides are dealt out by key, and neither is sent to the driver.
+
+    Spark judges by its size check that a table is small enough to be broadcast. That goes by the bytes of the file a document was
+    made or parsed from, of which a document and its entries may take hundreds of times as many.
+    """
+    return other.hint("merge")
+
+
 def newest(df: DataFrame, key: str, landed: str = "landed") -> DataFrame:
     """The document of each key that landed last, where the feed says when they did.
 
@@ -29,7 +38,7 @@ def newest(df: DataFrame, key: str, landed: str = "landed") -> DataFrame:
     if landed not in df.columns:
         return df
     last = df.groupBy(key).agg(F.max(landed).alias(landed))
-    return attach(df, last, [key, landed], "left_semi").drop(landed)
+    return attach(df, dealt(last), [key, landed], "left_semi").drop(landed)
 
 
 def calendar_races(calendar: DataFrame, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
@@ -91,16 +100,17 @@ def runner_rows(
 
     Of documents that landed several times the last counts. Lookups that miss leave NULLs. Net ratings are ranked over all entries of a race's cache.
     """
-    runners = detail_runners(detail).join(races, "race_id")
+    runners = detail_runners(detail).join(dealt(races), "race_id")
     # a race's cache is one record, so its entries are few
     by_rating = [F.col("wpr_nett").desc_nulls_last(), F.col("row_pos")]
     nett = InTask(["race_id"]).numbers(net_ratings(newest(caches, "raceId")), {"_n": by_rating})
     nett = keep_last(nett, ["race_id", "run_id"], ["row_pos"]).select(
         "race_id", "run_id", "wpr_nett", F.when(F.col("wpr_nett").isNotNull(), F.col("_n")).alias("wpr_rank")
     )
-    rows = runners.join(nett, ["race_id", "run_id"], "left").join(runner_stats(newest(stats, "runId")), "run_id", "left")
+    rows = runners.join(dealt(nett), ["race_id", "run_id"], "left")
+    rows = rows.join(dealt(runner_stats(newest(stats, "runId"))), "run_id", "left")
     known = newest(forms, "runId").select(F.col("runId").cast("string").alias("run_id"), "form", "peak")
-    rows = rows.join(known, "run_id", "left").withColumn("_known", F.col("form").isNotNull())
+    rows = rows.join(dealt(known), "run_id", "left").withColumn("_known", F.col("form").isNotNull())
     kept = rows.columns
     featured = form_features(rows, race_date="date", race_distance="distance", race_going="going")
     added = [c for c in featured.columns if c not in kept]

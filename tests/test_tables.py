@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from conftest import rows
 from railbird.operators import tables
 from railbird.sources.schemas import conform
@@ -111,3 +112,17 @@ def test_a_filter_on_a_document_does_not_parse_it_again(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
     assert rows(found) == [(1, 1), (1, 2), (2, 2), (2, 3)]
+
+
+def _planned(spark, name, folder):
+    return entry.queries()[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_document_of_a_race_is_sent_to_the_driver(spark, tmp_path):
+    spark.range(40).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1e6D AS o_totalprice", "TIMESTAMP '1996-01-01' AS o_orderdate",
+        "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    plan = _planned(spark, "runner_rows", tmp_path)
+    # the files are small, what is parsed from them is not
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
