@@ -264,7 +264,7 @@ def field_runners(meetings: DataFrame, fields: DataFrame) -> DataFrame:
     races = (
         listed.where((prize == 0) | (prize >= BET_PRIZE))
         .withColumn("_before", before)
-        .join(known, (F.col("_meeting") == F.col("meetingId")) & of_day(F.col("_day"), F.col("date")))
+        .join(dealt(known), (F.col("_meeting") == F.col("meetingId")) & of_day(F.col("_day"), F.col("date")))
     )
     runners = races.select("*", F.posexplode("race.runners").alias("_pos", "runner"))
     return runners.select(

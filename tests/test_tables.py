@@ -126,3 +126,11 @@ def test_no_document_of_a_race_is_sent_to_the_driver(spark, tmp_path):
     plan = _planned(spark, "runner_rows", tmp_path)
     # the files are small, what is parsed from them is not
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_no_fields_of_a_meeting_are_sent_to_the_driver(spark, tmp_path):
+    spark.range(40).selectExpr(
+        "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id AS INT) AS p_size", "900.0D AS p_retailprice"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    plan = _planned(spark, "field_runners", tmp_path)
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
