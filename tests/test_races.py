@@ -196,3 +196,12 @@ def test_selections_rank_runners_once(spark):
     spread = race.selections(df, Spread(["race_id"]), max_runners=3)
     assert plain.columns == spread.columns and rows(plain, "race_id", "part") == rows(spread, "race_id", "part")
     assert {(r["race_id"], r["part"]) for r in plain.collect()} == {(f"r{r}", p) for r in (0, 1, 2) for p in (0, 1, 2)}
+
+
+def test_selections_sort_runners_once_for_each_order(spark):
+    df = race.speed_rank(race.pace(_field(spark), G), G)
+    plan = race.selections(df, G)._jdf.queryExecution().executedPlan().toString()
+    # by speed, by four more anchors and by position; and the records
+    assert plan.count(" Sort [race_id") == 7
+    # no lambda is run over the runners of a race
+    assert "lambdafunction(struct" not in plan and "array_sort" not in plan
