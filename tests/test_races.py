@@ -205,3 +205,13 @@ def test_selections_sort_runners_once_for_each_order(spark):
     assert plan.count(" Sort [race_id") == 7
     # no lambda is run over the runners of a race
     assert "lambdafunction(struct" not in plan and "array_sort" not in plan
+
+
+def test_numbers_of_records_are_rounded_as_python_does(spark):
+    values = [0.0005, 2.6755, 1.0005, -0.0004, -1.0015, 0.4994999, 0.4995001, 123456.7895, 999999.9995, 1000000.0005, 1e15 + 0.3, 5e-324, 0.0, None]
+    values += [(i * 2 + 1) / 2000 for i in range(60)]
+    found = payload.with_rounded(runners(spark, *[{"rating": v, "rating_price": float("inf")} for v in values])).select("run_id", "_numbers").collect()
+    at = list(payload.NUMBER_KEYS.values()).index("rating")
+    assert [(r["_numbers"][at], r["_numbers"][at + 1]) for r in sorted(found, key=lambda r: int(r["run_id"]))] == [
+        (None if v is None else round(v, 3), float("inf")) for v in values
+    ]
